@@ -121,8 +121,9 @@ class Tokens:
 
 
 def byte_map(separators: bytes, lower: bool = True) -> np.ndarray:
-    """A map for Tokens: separators (and byte 0) become 0; A-Z become a-z if lower."""
+    """A map for Tokens: separators become 0; A-Z become a-z if lower; byte 0 becomes 255, which UTF-8 doesn't use."""
     found = np.arange(256, dtype=np.uint8)
+    found[0] = 255
     if lower:
         found[65:91] += 32
     found[list(separators)] = 0
@@ -138,3 +139,86 @@ def span_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, values.dtype)
     np.cumsum(values, out=total[1:])
     return total[first[1:]] - total[first[:-1]]
+
+
+class Memo:
+    """A table from 64-bit keys to numbers, looked up by whole arrays. Bounded: a full table starts anew.
+
+    Each key has PROBES places; one that finds no place isn't kept and is computed again next time.
+    """
+
+    PROBES = 8
+
+    def __init__(self, bits: int, kind: type = np.float64):
+        self.bits, self.filled = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, U64), np.zeros(1 << bits, kind)
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * U64(BASE)) >> U64(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values of keys (none of them 0), and the places in keys of those that aren't there."""
+        keys = keys.astype(U64, copy=False)
+        home, last = self._home(keys), (1 << self.bits) - 1
+        at, out = self.keys[home], self.values[home]
+        off = np.flatnonzero(at != keys)
+        absent = [off[at[off] == 0]]
+        off = off[at[off] != 0]
+        for probe in range(1, self.PROBES):
+            if not len(off):
+                break
+            place = (home[off] + probe) & last
+            at = self.keys[place]
+            hit = at == keys[off]
+            out[off[hit]] = self.values[place[hit]]
+            absent.append(off[at == 0])
+            off = off[~hit & (at != 0)]
+        return out, np.concatenate([*absent, off])
+
+    def put(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Keep distinct keys."""
+        if self.filled + len(keys) > 0.6 * len(self.keys):
+            self.keys[:] = 0
+            self.filled = 0
+        self.filled += len(keys)
+        home, last = self._home(keys), (1 << self.bits) - 1
+        for probe in range(self.PROBES):
+            place = (home + probe) & last
+            free = self.keys[place] == 0
+            self.keys[place[free]] = keys[free]
+            won = self.keys[place] == keys
+            self.values[place[won]] = values[won]
+            keys, values, home = keys[~won], values[~won], home[~won]
+            if not len(keys):
+                break
+
+
+def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    if not len(keys):
+        return keys, counts
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(counts, at)
+
+
+class Counter64:
+    """Counts of 64-bit keys of one task: added step by step, merged when the parts have grown."""
+
+    def __init__(self, limit: int = 4_000_000):
+        self.parts, self.waiting, self.limit = [], 0, limit
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        if counts is None:
+            keys, counts = np.unique(keys, return_counts=True)
+        self.parts.append((keys, counts.astype(np.int64)))
+        self.waiting += len(keys)
+        if self.waiting > self.limit and len(self.parts) > 1:
+            self.parts = [self.total()]
+            self.waiting = 0
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, U64), np.zeros(0, np.int64)
+        return merged(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))

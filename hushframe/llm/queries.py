@@ -5,12 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hushframe.llm import packing, token_counts
+from hushframe.llm import lm_scoring, packing, quality, token_counts
 from hushframe.llm.common import table
 
 
+def remainder(modulus: int) -> Column:
+    """crc32 of doc_id as text, modulo modulus; a null id has none (-1)."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus, F.lit(-1))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    model = quality.train(docs.join(labels, "doc_id").filter(remainder(3) != 1))
+    return quality.score(docs.withColumn("held_out", remainder(3) == 1), model).drop("text")
+
+
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lm_scoring.score(docs, docs.filter(remainder(7) != 2))
+    return found.withColumn("held_out", remainder(7) == 2)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
@@ -21,6 +40,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_lm_scoring": op2_lm_scoring,
     "op6_token_counts": op6_token_counts,
     "op10_best_fit_packing": op10_best_fit_packing,
 }

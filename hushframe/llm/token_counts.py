@@ -51,7 +51,7 @@ def count_tokens(docs: DataFrame, path: str, *, text: str = "text", limit: int =
     spark = docs.sparkSession
     docs = docs.drop("n_bytes", "n_tokens", "over_limit")
     shared = spark.sparkContext.broadcast(frequent_lengths(docs, path, text))
-    schema = spark.createDataFrame([], docs.schema).schema
+    schema = docs.limit(0).schema
     place = docs.columns.index(text)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
