@@ -1,10 +1,71 @@
-"""The training-data pipeline over documents."""
+"""The training-data pipeline over `documents`: quality, near copies, repeated passages, benchmark leaks, packing.
+
+Each stage takes all that its predecessor kept. All but the last return the columns of `documents`; the last returns where each piece
+of each document that is left goes. Part of the optional subpackage hushframe.llm, without which it doesn't import.
+"""
+
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hushframe.llm import decontaminate, near_dup, packing, quality, repeats
+from hushframe.llm.common import cut, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of a repeated string: about 40 words, so that passages of over 50 words are found wherever their words are short.
+REPEAT_BYTES = 200
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier doesn't reject (score of 0.5 or more). It learns from all labels of documents it gets."""
+    labelled = docs.select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return quality.score(docs.select(*COLUMNS), quality.train(labelled)).filter("predicted = 1").select(*COLUMNS)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies: the one with the smallest id. A row that repeats is there once."""
+    classes = near_dup.classes(docs).filter("kept").select("doc_id")
+    return docs.select(*COLUMNS).join(classes, docs["doc_id"].eqNullSafe(classes["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings that also start elsewhere; a document of which nothing but white space is left goes."""
+    found = repeats.remove_repeats(docs.select(*COLUMNS), length=REPEAT_BYTES)
+    # cutting at bytes may leave parts of a character, which become replacement characters and go; texts that were whole stay as they are
+    kept = F.when(F.col("n_removed") == 0, F.coalesce("text", F.lit(""))).otherwise(F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "�", ""))
+    left = found.withColumn("text", kept).filter((F.col("n_removed") == 0) | (F.trim(F.col("text")) != ""))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    return decontaminate.find_leaks(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")).filter(F.size("leaks") == 0).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", keep_good),
+    ("near-duplicates", keep_one_of_near_copies),
+    ("suffix-array dedup", cut_repeats),
+    ("benchmark decontamination", keep_unleaked),
+    ("best-fit packing", pack),
+]
+
+#: SQL can't express the stages; tests/llm holds them against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """The stages one after another."""
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written before the next one reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut(docs, f"stage-{k}")
+    return docs
