@@ -5,6 +5,7 @@ Durations are hours where the operators' defaults are milliseconds, as the event
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from hushframe.operators import audio, cross_modal, evaluation, gate, geometry, identity, intervals, manifests, raster, regions, text_pii
 from hushframe.sources.tables import table, view, with_views
+from hushframe.streaming import twins
 
 FLAGSHIP = "text_pii_spans"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,11 +94,12 @@ def configured_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("doc_id", F.col("s.category").alias("category")).agg(F.count("*").alias("spans"))
 
 
-@query("redacted_text", r"""SELECT doc_id, md5(regexp_replace(text, '\d', 'x', 'g')) AS plain_md5, length(text) AS n_chars FROM documents WHERE 1 = 0""")
-def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts whose length redaction changes: there are none."""
-    found = text_pii.redact(F.col("text"), text_pii.spans(F.col("text")))
-    return _documents(spark, sf_dir).filter(F.length(found) != F.length("text")).select("doc_id", F.md5(found).alias("plain_md5"), F.length("text").cast("long").alias("n_chars"))
+@query("redacted_chars", f"SELECT doc_id, cast(sum(end_pos - start_pos) AS BIGINT) AS marks, cast(any_value(length(text)) AS BIGINT) AS n_chars FROM ({_SPANS}) JOIN documents USING (doc_id) GROUP BY doc_id")
+def redacted_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many characters redaction replaces in each text, and the redacted text's length, which is the text's."""
+    found = _documents(spark, sf_dir).select("doc_id", text_pii.redact(F.col("text"), text_pii.spans(F.col("text"))).alias("r"))
+    marks = F.length("r") - F.length(F.replace("r", F.lit("█"), F.lit("")))
+    return found.select("doc_id", marks.cast("long").alias("marks"), F.length("r").cast("long").alias("n_chars")).filter("marks > 0")
 
 
 @query("ocr_text_forms", r"SELECT item_id, md5(trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g'), ' |~')) AS form FROM benchmark")
@@ -160,7 +163,14 @@ def region_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.overlapping_pairs(view(spark, sf_dir, "v_regions")).select("frame", "a", "b", F.round("iou", 9).alias("iou"))
 
 
-@query("region_merge")
+@query("region_merge", """WITH items AS (SELECT frame, list(struct_pack(at := cast(0 AS BIGINT), kind := kind, x := x, y := y, w := w, h := h, confidence := confidence, n := cast(1 AS BIGINT), done := cast([] AS STRUCT(kind VARCHAR, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, confidence DOUBLE, n BIGINT)[])) ORDER BY kind, confidence DESC, ordinal) AS l FROM v_regions GROUP BY frame),
+folded AS (SELECT frame, list_reduce(l, lambda acc, r: struct_pack(at := cast(0 AS BIGINT), kind := '', x := 0.0::DOUBLE, y := 0.0::DOUBLE, w := 0.0::DOUBLE, h := 0.0::DOUBLE, confidence := 0.0::DOUBLE, n := cast(0 AS BIGINT), done :=
+    CASE WHEN len(list_filter(acc.done, lambda o: o.kind = r.kind AND least(o.x + o.w, r.x + r.w) > greatest(o.x, r.x) AND least(o.y + o.h, r.y + r.h) > greatest(o.y, r.y))) = 0
+    THEN list_append(acc.done, struct_pack(kind := r.kind, x := r.x, y := r.y, w := r.w, h := r.h, confidence := r.confidence, n := r.n))
+    ELSE list_transform(acc.done, lambda o, k: CASE WHEN k = list_position(list_transform(acc.done, lambda q: q.kind = r.kind AND least(q.x + q.w, r.x + r.w) > greatest(q.x, r.x) AND least(q.y + q.h, r.y + r.h) > greatest(q.y, r.y)), true)
+      THEN struct_pack(kind := o.kind, x := least(o.x, r.x), y := least(o.y, r.y), w := greatest(o.x + o.w, r.x + r.w) - least(o.x, r.x), h := greatest(o.y + o.h, r.y + r.h) - least(o.y, r.y), confidence := greatest(o.confidence, r.confidence), n := o.n + r.n) ELSE o END) END),
+    struct_pack(at := cast(0 AS BIGINT), kind := '', x := 0.0::DOUBLE, y := 0.0::DOUBLE, w := 0.0::DOUBLE, h := 0.0::DOUBLE, confidence := 0.0::DOUBLE, n := cast(0 AS BIGINT), done := cast([] AS STRUCT(kind VARCHAR, x DOUBLE, y DOUBLE, w DOUBLE, h DOUBLE, confidence DOUBLE, n BIGINT)[]))).done AS d FROM items)
+SELECT frame, cast(k - 1 AS INT) AS place, d[k].kind AS kind, round(d[k].x, 9) AS x, round(d[k].y, 9) AS y, round(d[k].w, 9) AS w, round(d[k].h, 9) AS h, round(d[k].confidence, 9) AS confidence, cast(d[k].n AS INT) AS n FROM (SELECT frame, d, unnest(range(1, len(d) + 1)) AS k FROM folded)""")
 def region_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = regions.merge_regions(view(spark, sf_dir, "v_regions"))
     return found.select("frame", "place", "region.kind", *[F.round(F.col(f"region.{c}"), 9).alias(c) for c in ("x", "y", "w", "h", "confidence")], F.col("region.n").alias("n"))
@@ -241,7 +251,12 @@ def bystander_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.bystanders(_decided(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("faces"))
 
 
-@query("enrollment_lifecycle")
+@query("enrollment_lifecycle", """WITH RECURSIVE ops AS (SELECT stream, seq, CASE WHEN event_id % 4 = 0 THEN 'delete' WHEN event_id % 4 = 1 THEN 'replace' ELSE 'create' END AS op, CASE WHEN event_id % 7 = 0 THEN 'enrollment_rejected' ELSE 'ok' END AS outcome FROM v_frames),
+st AS (SELECT stream AS subject, cast(-1 AS BIGINT) AS ord, false AS have, '' AS result FROM (SELECT DISTINCT stream FROM ops) UNION ALL
+  SELECT s.subject, o.seq, CASE WHEN op = 'delete' THEN false WHEN op = 'create' AND have THEN true WHEN op = 'replace' AND NOT have THEN false ELSE have OR outcome = 'ok' END,
+    CASE WHEN op = 'create' AND have THEN 'conflict' WHEN op = 'replace' AND NOT have THEN 'not_found' WHEN op = 'delete' THEN CASE WHEN have THEN 'ok' ELSE 'enrollment_not_found' END ELSE outcome END
+  FROM st s JOIN ops o ON o.stream = s.subject AND o.seq = s.ord + 1)
+SELECT subject, ord, CASE WHEN have THEN 'enrolled' ELSE 'not_enrolled' END AS state, result FROM st WHERE ord >= 0""")
 def enrollment_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     operations = view(spark, sf_dir, "v_frames").select(F.col("stream").alias("subject"), F.col("seq").alias("ord"), F.when(k % 4 == 0, "delete").when(k % 4 == 1, "replace").otherwise("create").alias("op"), F.when(k % 7 == 0, "enrollment_rejected").otherwise("ok").alias("outcome"))
@@ -463,6 +478,19 @@ def integration_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate.outcome_metrics(_gate(spark, sf_dir))
 
 
+# --- streams
+
+
+@query("stream_event_windows", """SELECT (epoch_us(ts) // 3600000000) * 3600000 AS window_ms, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""")
+def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly counts as a stream that takes all there is and stops."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    name = f"event_windows_{uuid.uuid4().hex}"
+    counted = twins.windowed_counts(events).select((F.unix_millis("window_start")).alias("window_ms"), "event_type", "n", F.round("total", 6).alias("total"))
+    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)
+
+
 # --- evaluation
 
 
