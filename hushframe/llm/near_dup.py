@@ -5,9 +5,9 @@
    hash), which is linear in the bucket's size. Pairs are verified on the whole texts; those that pass are links.
 3. Connected components of the links. Buckets whose texts are now one component need no more work. In every other bucket the texts
    outside its largest component are compared with all its texts, in blocks of bounded size: pairs of different components whose
-   signatures agree in all but a few components are verified too. So no link between texts that share a bucket is lost to the
-   choice in step 2, and no bucket is capped.
-4. Components again; a class is named by its smallest document id.
+   signatures agree in enough components are verified too: first likely links, and after joining what they link, all that may be one.
+   So no link between texts that share a bucket is lost to the choice in step 2, and no bucket is capped.
+4. A class is a component; it is named by its smallest document id.
 """
 
 from __future__ import annotations
@@ -26,8 +26,10 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Two texts of similarity 0.8 share no band with probability (1 - 0.8**6)**32 < 1e-4.
 BANDS, ROWS = 32, 6
-#: Signatures this many standard deviations below SIMILARITY are not verified in step 3.
-DEVIATIONS = 4.2
+#: Components of a signature: more than the bands use, so that step 3 can tell pairs below SIMILARITY from others by them.
+SIZE = 640
+#: Pairs whose signatures are this many standard deviations below SIMILARITY are not verified in step 3 (1e-4 of those at it).
+DEVIATIONS = 3.7
 #: Texts of a block in step 3.
 BLOCK = 2048
 _WORDS = byte_map(SPACE)
@@ -54,9 +56,8 @@ def bags(tokens: Tokens, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return key[at] & U64((1 << 44) - 1), np.diff(np.concatenate([at, [len(key)]])), (key[at] >> U64(44)).astype(np.int64)
 
 
-def sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
+def sign(docs: DataFrame, words: int, bands: int, rows: int, size: int) -> DataFrame:
     """(doc_id, th, bands, sketch) of docs (doc_id, text): band hashes (none for a text without words), a byte for each component."""
-    size = bands * rows
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,7 +68,7 @@ def sign(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 found = signatures(element, weight, row, j - i, size).view(U64)
                 band = mix(np.arange(bands, dtype=U64))[None, :] + np.zeros((j - i, 1), U64)
                 for k in range(rows):
-                    band = mix(band + found[:, k::rows])
+                    band = mix(band + found[:, k : bands * rows : rows])
                 keys.append(band.view(np.int64))
                 sketches.append((mix(found) >> U64(56)).astype(np.uint8))
                 some.append(np.bincount(row, minlength=j - i) > 0)
@@ -111,10 +112,10 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label) of all nodes of links (a, b): the smallest node that links lead to, by rounds of neighbours' labels and jumps."""
-    edges = cut(links.select("a", "b").union(links.select("b", "a")).distinct(), "edges")
-    labels = cut(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    edges = cut(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "edges")
+    labels = cut(edges.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
     while True:
-        hop = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("hop"))
+        hop = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("hop"))
         near = labels.join(hop, "node").select("node", F.col("label").alias("before"), F.least("label", "hop").alias("label"))
         onward = labels.select(F.col("node").alias("label"), F.col("label").alias("onward"))
         moved = cut(near.join(onward, "label").select("node", "before", F.least("label", "onward").alias("label")), "labels")
@@ -123,30 +124,45 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def compare_outside(members: DataFrame, words: int, least: float, size: int) -> DataFrame:
-    """(a, b): pairs of step 3, of members (bucket, th, label, sketch)."""
+def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) after more links (a, b): components of the labels that they join, which are few."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    every = labels.join(ends, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
+    of = lambda c: every.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
+    joins = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).filter("a <> b").distinct()
+    joined = components(joins).select(F.col("node").alias("label"), F.col("label").alias("new"))
+    return cut(every.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+
+
+def compare_outside(members: DataFrame, size: int, low: float, high: float) -> DataFrame:
+    """(a, b): pairs of step 3 with an estimate of low or more and below high, of members (bucket, th, label, sketch, bands); a pair
+    comes from the first band that it shares."""
     shares = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     sizes = shares.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).filter("most.n < n").select("bucket", F.col("most.label").alias("main"), "n", (F.col("n") - F.col("most.n")).alias("outside"))
-    rows = members.join(sizes, "bucket")
+    rows = members.join(sizes, "bucket").withColumn("out", F.col("label") != F.col("main"))
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("th"), blocks(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    columns = ("th", "label", "sketch")
+    columns = ("out", "th", "label", "sketch", "bands")
     against = rows.select("bucket", own("n").alias("k"), all_("outside").alias("q"), F.lit(False).alias("asks"), *columns)
-    asking = rows.filter("label <> main").select("bucket", all_("n").alias("k"), own("outside").alias("q"), F.lit(True).alias("asks"), *columns)
+    asking = rows.filter("out").select("bucket", all_("n").alias("k"), own("outside").alias("q"), F.lit(True).alias("asks"), *columns)
     dealt = against.union(asking)
     dealt = dealt.repartition("bucket", "k", "q").sortWithinPartitions("bucket", "k", "q")
-    bar = least - DEVIATIONS * np.sqrt(least * (1 - least) / size)
 
     def pairs(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         table = pa.Table.from_batches(group)
-        asks, th, label = (table[c].to_numpy() for c in ("asks", "th", "label"))
+        asks, out, th, label = (table[c].to_numpy() for c in ("asks", "out", "th", "label"))
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(th), size)
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(th), -1)
+        band = int(np.argmax(bands[0] == table["bucket"][0].as_py()))
         a, b = [], []
         rest = np.flatnonzero(~asks)
         for q in np.flatnonzero(asks):
-            agree = (sketch[rest] == sketch[q]).mean(axis=1)
-            hit = rest[((agree - 1 / 256) / (1 - 1 / 256) >= bar) & (label[rest] != label[q])]
+            others = rest[(label[rest] != label[q]) & (~out[rest] | (th[q] < th[rest]))]
+            agree = (sketch[others] == sketch[q]).mean(axis=1)
+            estimate = (agree - 1 / 256) / (1 - 1 / 256)
+            hit = others[(estimate >= low) & (estimate < high)]
+            hit = hit[np.argmax(bands[hit] == bands[q], axis=1) == band]
             a.append(np.minimum(th[hit], th[q]))
             b.append(np.maximum(th[hit], th[q]))
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
@@ -157,7 +173,7 @@ def compare_outside(members: DataFrame, words: int, least: float, size: int) ->
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return dealt.mapInArrow(compared, "a long, b long").distinct()
+    return dealt.mapInArrow(compared, "a long, b long")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
@@ -184,7 +200,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Rec
         yield held
 
 
-def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
     """(doc_id, class_id, class_docs, kept) for each row of docs.
 
     Rows are in one class if they have the same text or if links lead from one to the other; a link is a weighted Jaccard similarity
@@ -193,9 +209,8 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", word
     number of its rows, and exactly one row of it is kept: one of that id. Ids may repeat or be null; no row is lost.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = cut(sign(docs, words, bands, rows), "signatures")
-    unique = signed.groupBy("th").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    banded = cut(unique.select("th", F.explode("bands").alias("bucket")), "bands")
+    signed = cut(sign(docs, words, bands, rows, size), "signatures")
+    banded = cut(signed.select("th", "bands").dropDuplicates(["th"]).select("th", F.explode("bands").alias("bucket")), "bands")
     ends = cut(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("th").alias("first"), F.max("th").alias("last")).filter("n > 1"), "buckets")
     shared = cut(banded.join(ends, "bucket"), "shared")
     candidates = shared.select("th").distinct()
@@ -204,11 +219,13 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", word
     star = shared.select("th", other.alias("to")).filter("th <> to").select(F.least("th", "to").alias("a"), F.greatest("th", "to").alias("b")).distinct()
     links = cut(verified(star, texts, words, least), "links")
     labels = components(links)
-    sketches = signed.join(candidates, "th").groupBy("th").agg(F.first("sketch").alias("sketch"))
-    members = shared.select("bucket", "th").join(labels.withColumnRenamed("node", "th"), "th", "left").join(sketches, "th").select("bucket", "th", F.coalesce("label", "th").alias("label"), "sketch")
-    more = cut(verified(cut(compare_outside(members, words, least, bands * rows), "outside"), texts, words, least), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    sketches = signed.join(candidates, "th").dropDuplicates(["th"]).select("th", "sketch", "bands")
+    bar = least - DEVIATIONS * float(np.sqrt(least * (1 - least) / size))
+    for low, high in ((least, 2.0), (bar, least)):
+        members = shared.select("bucket", "th").join(labels.withColumnRenamed("node", "th"), "th", "left").join(sketches, "th").select("bucket", "th", F.coalesce("label", "th").alias("label"), "sketch", "bands")
+        more = cut(verified(cut(compare_outside(members, size, low, high), "outside"), texts, words, least), "links")
+        if not more.isEmpty():
+            labels = relabelled(labels, more)
     named = signed.select("doc_id", "th").join(labels.withColumnRenamed("node", "th"), "th", "left").withColumn("class", F.coalesce("label", "th"))
     named = cut(named.select("doc_id", "class", F.monotonically_increasing_id().alias("row")), "classes")
     # the smallest id, then any one row of it: a total order, so one row is kept
