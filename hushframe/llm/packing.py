@@ -22,7 +22,7 @@ from hushframe.llm.common import cut
 from hushframe.llm.pretokens import ByteIds, worker
 
 #: Groups that the rows of one length are dealt to before they are numbered.
-SALTS = 256
+SALTS = 32
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> np.ndarray:
@@ -117,7 +117,7 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, d
     shared = docs.sparkSession.sparkContext.broadcast(best_fit(histogram, capacity))
     before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).drop("n")
     numbered = pieces.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
-    # at most capacity x SALTS rows, whatever the input: 2048 x 256 x 20 bytes
+    # at most capacity x SALTS rows, whatever the input: 2048 x 32 x 40 bytes
     ranked = numbered.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
