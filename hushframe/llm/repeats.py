@@ -27,7 +27,7 @@ from hushframe.llm.runindex import RunIndex
 
 LENGTH = 400
 #: Bytes of segments that one index takes.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _PLACES = 1 << 20
 SPANS = "array<struct<begin:long,end:long>>"
 
