@@ -1,7 +1,8 @@
 """Operator 5, document fingerprints: I-Match with randomised lexicons. DataFrame functions only.
 
 The lexicon is the terms within a band of inverse document frequency. Each of COMPONENTS random subsets of it gives one hash: of the
-sorted distinct terms that the text has in common with the subset. Subsets differ in size, from the whole band to 1/64 of it, so
+distinct terms that the text has in common with the subset, as the sum of the terms' own hashes: the same for any order, like a hash
+of the sorted terms, but kept in one number for each text and component instead of a list that has to be sorted. Subsets differ in size, from the whole band to 1/64 of it, so
 that the share of equal hashes falls gradually with the share of changed terms. A subset that a text has no term of gives no hash.
 """
 
@@ -26,9 +27,8 @@ SPACE = "[ \\t\\n\\x0b\\f\\r]+"
 
 
 def terms(text: Column) -> Column:
-    """Distinct words, A-Z lower-cased."""
-    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.filter(F.split(lowered, SPACE, -1), lambda t: t != ""))
+    """Distinct words, lower-cased."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), SPACE, -1), lambda t: t != ""))
 
 
 def subset_mask(term: Column) -> Column:
@@ -45,21 +45,28 @@ def subset_mask(term: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, text: str) -> DataFrame:
-    """(term, mask) of the terms within the band, over all documents."""
+    """(term, mask, hash) of the terms within the band, over all documents."""
     n = docs.count()
     counts = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = (F.col("df") >= 2) & (F.col("df") * RAREST >= n) & (F.col("df") * COMMONEST <= n)
-    return counts.filter(band).select("term", subset_mask(F.col("term")).alias("mask"))
+    return counts.filter(band).select("term", subset_mask(F.col("term")).alias("mask"), term_hash(F.col("term")).alias("hash"))
 
 
-def component(items: Column, k: int) -> Column:
-    chosen = F.filter(items, lambda x: x["mask"].bitwiseAND(F.lit(1 << k)) != 0) if k else items
-    return F.when(F.size(chosen) > 0, F.substring(F.md5(F.array_join(F.transform(chosen, lambda x: x["term"]), " ")), 1, DIGITS)).otherwise(NONE)
+def term_hash(term: Column) -> Column:
+    """32 bits of the term's MD5, plus 1."""
+    return F.conv(F.substring(F.md5(term), 1, DIGITS), 16, 10).cast("long") + 1
 
 
-def fingerprint(items: Column, digest: Column) -> Column:
-    """The components' hashes in a row; of a text without a term of the lexicon, x and the text's digest, so that only equal texts agree."""
-    return F.when(F.size(items) > 0, F.concat(*[component(items, k) for k in range(COMPONENTS)])).otherwise(F.concat(F.lit("x"), digest))
+def component(k: int) -> Column:
+    """The sum of the hashes of a text's terms (rows of term, mask, hash) in a component's lexicon."""
+    return F.sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0, F.col("hash")).otherwise(F.lit(0))).alias(f"c{k}")
+
+
+def fingerprint(digest: Column) -> Column:
+    """The components' sums (columns c0, c1, ...) modulo 2**32 in a row; of a text without a term of the lexicon, x and the text's
+    digest, so that only equal texts agree."""
+    one = lambda k: F.when(F.col(f"c{k}") == 0, NONE).otherwise(F.lower(F.lpad(F.hex(F.col(f"c{k}") % (1 << 32)), DIGITS, "0")))
+    return F.when(F.col("c0") > 0, F.concat(*[one(k) for k in range(COMPONENTS)])).otherwise(F.concat(F.lit("x"), digest))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -93,7 +100,7 @@ def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     width = max(1, -(-(high - low + 1) * BLOCK // max(1, n)))
     # blocks are numbered from the highest ids on; rows with a null id are a block behind all others
     docs = docs.withColumn("block", F.coalesce(F.floor((F.lit(high) - F.col("id")) / width), F.lit((high - low) // width + 1)))
-    words = cut(lexicon(docs, "text").unionByName(spark.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("mask"))), "lexicon")
+    words = cut(lexicon(docs, "text").unionByName(spark.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("hash"))), "lexicon")
     words = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
     first = docs.groupBy("block").agg(F.max_by("text", F.struct("id", "text")).alias("first_text"))
     # one row for each block, so 1/BLOCK of the documents; only its numbers go through one task
@@ -114,8 +121,7 @@ def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     keys = ["block", "place", "id", "side", *digests]
     # the empty term stands for the text itself, so that one without terms of the lexicon keeps its row
     each = sided.withColumns(digests).select(*keys, F.explode(F.array_append(terms(F.col("own")), F.lit(""))).alias("term")).join(words, "term")
-    item = F.when(F.col("term") != "", F.struct("term", "mask"))
-    printed = each.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("items")).withColumn("print", fingerprint(F.col("items"), F.col("digest")))
+    printed = each.groupBy(*keys).agg(*map(component, range(COMPONENTS))).withColumn("print", fingerprint(F.col("digest")))
     of = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
     wide = printed.groupBy("block", "place", "id").agg(of("chars", 0).alias("n_chars"), of("sha", 1).alias("edited_sha256"), of("print", 0).alias("fingerprint"), of("print", 1).alias("edited_fingerprint"), of("print", 2).alias("after"))
     wide = wide.withColumn("after", F.coalesce("after", F.lead("fingerprint").over(Window.partitionBy("block").orderBy("place"))))
