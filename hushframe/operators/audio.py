@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.folds import ordered_fold
 from hushframe.operators import text_pii
+from hushframe.operators.intervals import overlap_join
 
 # fixed values: spoken digits and symbols
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
@@ -207,3 +208,27 @@ def spoken_pii(words: DataFrame, key: str, config: text_pii.Config = text_pii.Co
     return placed.withColumn("covered", covered).filter(F.size("covered") > 0).select(
         key, F.array_min(of("start_ms")).alias("start_ms"), F.array_max(of("end_ms")).alias("end_ms"), F.array_min(of("confidence")).alias("confidence"), F.col("span.category").alias("reason")
     )
+
+
+def timeline_words(windows: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    """(key, window, pos, word, start_ms, end_ms, confidence): a transcriber's words on the source timeline.
+
+    windows: key, window, start_ms, end_ms, text and confidence; words: key, window, pos, word, from_ms, to_ms and confidence, relative to
+    their window. Words are clamped to the window and empty ones go; a window that has none left gives its whole text as one word.
+    """
+    begin, end = F.greatest(F.col("start_ms"), F.col("start_ms") + F.col("from_ms")), F.least(F.col("end_ms"), F.col("start_ms") + F.col("to_ms"))
+    own = words.withColumnRenamed("confidence", "__own").join(windows, [key, "window"])
+    placed = own.select(key, "window", "pos", "word", begin.alias("a"), end.alias("b"), F.col("__own").alias("confidence")).filter("b > a AND trim(word) <> ''")
+    silent = windows.join(placed.select(key, "window").distinct(), [key, "window"], "left_anti").filter("trim(text) <> ''")
+    whole = silent.select(key, "window", F.lit(0).cast("long").alias("pos"), F.col("text").alias("word"), F.col("start_ms").alias("a"), F.col("end_ms").alias("b"), "confidence")
+    return placed.withColumn("pos", F.col("pos").cast("long")).unionByName(whole).withColumnsRenamed({"a": "start_ms", "b": "end_ms"})
+
+
+def classified_segments(segments: DataFrame, words: DataFrame, key: str, *, bucket: int = 15_000) -> DataFrame:
+    """segments (key, segment, start_ms, end_ms) with n_words inside and status: ok, or unsafe_unclassified without any.
+
+    words: key, from_ms, to_ms; a word is inside if it overlaps the segment.
+    """
+    found = overlap_join(segments, words.select(key, "from_ms", "to_ms"), key, bucket=bucket, left_span=("start_ms", "end_ms"), right_span=("from_ms", "to_ms"), keep=[key, "segment"])
+    counted = found.groupBy(key, "segment", "start_ms", "end_ms").agg(F.count("from_ms").alias("n_words"))
+    return counted.withColumn("status", F.when(F.col("n_words") > 0, "ok").otherwise("unsafe_unclassified"))
