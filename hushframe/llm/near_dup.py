@@ -30,8 +30,8 @@ BANDS, ROWS = 32, 6
 SIZE = 640
 #: Pairs whose signatures are this many standard deviations below SIMILARITY are not verified in step 3 (1e-4 of those at it).
 DEVIATIONS = 3.7
-#: Texts of a block in step 3.
-BLOCK = 2048
+#: Texts of a block in step 3, and pairs that are verified at once.
+BLOCK, PAIRS = 2048, 512
 _WORDS = byte_map(SPACE)
 
 
@@ -89,7 +89,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
     both = one.join(texts.select(F.col("th").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, PAIRS) for b in batches for at in range(0, b.num_rows, PAIRS)):
             bag = []
             for k in (2, 3):
                 data, offsets = flat(batch.column(k))
