@@ -65,6 +65,16 @@ def test_rare_words_are_joined(spark, make, texts):
         assert r["n_known"] == few[k]["n_known"] == r["n_tokens"] and math.isclose(r["base_score"], few[k]["base_score"], rel_tol=1e-9)
 
 
+def test_scores_are_of_all_ngrams(spark, make, texts):
+    training = [t for t in texts[:40] if t]
+    asked = ["the abé", "unknown WORDS here", "", None, *texts[40:50], *texts[40:44], texts[-3]]
+    docs, held = make(spark, training).select("text"), make(spark, asked)
+    for order, nodes in ((5, 400), (5, 0), (1, 20)):
+        got = {r["doc_id"]: r["score"] for r in lm_scoring.score(held, docs, order=order, nodes=nodes).collect()}
+        assert len(got) == len(asked) and all(got[k + 4] == got[k + 14] for k in range(4))
+        assert all(math.isclose(got[k], brute_probability(training, t, order), rel_tol=1e-9) for k, t in enumerate(asked[:8]))
+
+
 def test_a_trie_sums_to_one(spark, make):
     from hushframe.llm.lm_scoring import Trie, grams
 
