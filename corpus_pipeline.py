@@ -25,9 +25,12 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies: the one with the smallest id. A row that repeats is there once."""
-    classes = near_dup.classes(docs).filter("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(classes, docs["doc_id"].eqNullSafe(classes["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class of near copies: the one with the smallest id. A row that repeats is there once. Ids may
+    repeat or be null: rows of one id with different texts are told apart by the texts' hashes, as near_dup does."""
+    kept = near_dup.hashed_classes(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("th").alias("kept_th"))
+    rows = docs.select(*COLUMNS, near_dup.text_hash(F.col("text")).alias("th"))
+    found = rows.join(kept, (F.col("th") == F.col("kept_th")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return found.dropDuplicates(["doc_id", "th"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

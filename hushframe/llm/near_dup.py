@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.bagminhash import signatures
@@ -200,8 +200,18 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Rec
         yield held
 
 
-def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
-    """(doc_id, class_id, class_docs, kept) for each row of docs.
+def text_hash(text: Column) -> Column:
+    """What texts are told apart by; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def classes(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, class_id, class_docs, kept) for each row of docs: hashed_classes without the text hash."""
+    return hashed_classes(docs, **options).drop("th")
+
+
+def hashed_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
+    """(doc_id, th, class_id, class_docs, kept) for each row of docs; th is text_hash of its text.
 
     Rows are in one class if they have the same text or if links lead from one to the other; a link is a weighted Jaccard similarity
     of `least` or more of their multisets of runs of `words` words (a shorter text is one run; a text without words, which a null
@@ -227,7 +237,7 @@ def classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", word
         if not more.isEmpty():
             labels = relabelled(labels, more)
     named = signed.select("doc_id", "th").join(labels.withColumnRenamed("node", "th"), "th", "left").withColumn("class", F.coalesce("label", "th"))
-    named = cut(named.select("doc_id", "class", F.monotonically_increasing_id().alias("row")), "classes")
+    named = cut(named.select("doc_id", "th", "class", F.monotonically_increasing_id().alias("row")), "classes")
     # the smallest id, then any one row of it: a total order, so one row is kept
     kept = named.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"), F.count("*").alias("class_docs"))
-    return named.join(kept, "class").select(F.col("doc_id").alias(doc_id), F.col("best.doc_id").alias("class_id"), "class_docs", (F.col("row") == F.col("best.row")).alias("kept"))
+    return named.join(kept, "class").select(F.col("doc_id").alias(doc_id), "th", F.col("best.doc_id").alias("class_id"), "class_docs", (F.col("row") == F.col("best.row")).alias("kept"))

@@ -72,6 +72,17 @@ def test_stages(spark, planted):
     assert out["best-fit packing"].select("sequence_id").distinct().count() <= 1 + 1.05 * sum(sizes.values()) / 2048
 
 
+def test_near_copies_of_null_and_repeated_ids(spark, make):
+    base = [" ".join(f"{a}{k}" for k in range(40)) for a in "abcdef"]
+    texts = [base[0], base[1], base[2], base[3], base[4], base[4], base[1], base[5] + " near", base[5], None, ""]
+    ids = [None, None, None, 7, 7, 7, None, 3, None, None, 7]
+    docs = make(spark, texts, ids).cache()
+    got = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert got.columns == docs.columns
+    rows = [(-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in got.collect()]
+    assert sorted(rows) == sorted([(-1, base[0]), (-1, base[1]), (-1, base[2]), (7, base[3]), (7, base[4]), (3, base[5] + " near"), (7, "")])
+
+
 def test_run_applies_all_stages(spark, planted):
     path, _, _ = planted
     assert corpus_pipeline.run(spark, path).select("doc_id").distinct().count() > 80
