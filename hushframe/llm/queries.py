@@ -20,7 +20,7 @@ def remainder(modulus: int) -> Column:
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.train(docs.join(labels, "doc_id").filter(remainder(3) != 1))
+    model = quality.train(docs.filter(remainder(3) != 1), labels.filter(remainder(3) != 1))
     return quality.score(docs.withColumn("held_out", remainder(3) == 1), model).drop("text")
 
 

@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from hushframe.llm import lm_scoring, quality
@@ -106,13 +107,14 @@ def labelled(spark, make):
 
 def test_held_out_accuracy(spark, make, clashing):
     rows, docs = labelled(spark, make)
-    model = quality.train(rows.filter("doc_id % 3 <> 1"))
+    model = quality.train(rows.drop("quality").filter("doc_id % 3 <> 1"), rows.select("doc_id", "quality"))
     got = quality.score(clashing(docs).withColumn("predicted", F.lit("mine")), model).filter("doc_id % 3 = 1").collect()
     assert np.mean([r["predicted"] == (r["doc_id"] < 60) for r in got]) == 1 and all(0 <= r["score"] <= 1 for r in got)
 
 
 def test_odd_texts(spark, make, texts, empty):
-    model = quality.train(labelled(spark, make)[0])
+    rows = labelled(spark, make)[0]
+    model = quality.train(rows, rows)
     got = {r["doc_id"]: r for r in quality.score(make(spark, texts), model).collect()}
     assert len(got) == len(texts)
     by_text = {}
@@ -123,7 +125,43 @@ def test_odd_texts(spark, make, texts, empty):
 
 def test_one_class_gives_its_share(spark, make):
     rows, docs = labelled(spark, make)
-    model = quality.train(rows.filter("quality = 1"))
-    assert {round(r["score"], 6) for r in quality.score(docs, model).collect()} == {round(121 / 122, 6)} or all(r["score"] > 0.9 for r in quality.score(docs, model).collect())
-    none = quality.train(rows.limit(0))
+    model = quality.train(docs, rows.filter("quality = 1"))
+    assert {round(r["score"], 6) for r in quality.score(docs, model).collect()} == {round(61 / 62, 6)}
+    none = quality.train(docs, rows.limit(0))
     assert {r["score"] for r in quality.score(docs, none).collect()} == {0.5}
+
+
+def test_the_model_depends_on_the_rows_alone(spark, make):
+    """Repeated ids, ids with both labels, null ids, and any partitioning."""
+    rows, docs = labelled(spark, make)
+    more = spark.createDataFrame([(0, "other text"), (0, "other text"), (7, None), (None, "nobody's"), (500, "unlabelled")], "doc_id long, text string")
+    own = docs.select("doc_id", "text").unionByName(more)
+    labels = rows.select("doc_id", "quality").unionByName(spark.createDataFrame([(3, 0), (70, 1), (None, 1), (900, 0), (5, None)], "doc_id long, quality int"))
+    models = [quality.train(own.repartition(k), labels.repartition(k)) for k in (1, 3, 5)]
+    assert len({(m.good, m.bad, m.slope, m.intercept) for m in models}) == 1
+    ids = {r["id"]: r["y"] for r in quality.labelled_ids(own, labels, "doc_id", "quality").collect()}
+    assert ids == {k: int(k < 60) for k in range(120) if k not in (3, 70)}
+
+
+def test_scores_are_those_of_independent_sizes(spark, make, texts):
+    rows, docs = labelled(spark, make)
+    model = quality.train(docs, rows)
+    got = {r["doc_id"]: r["score"] for r in quality.score(make(spark, texts[:60]), model).collect()}
+    size = lambda content, part: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_dict_id=False).compress(part))
+    for k, t in enumerate(texts[:60]):
+        raw = (t or "").encode()
+        parts = [raw[i : i + 1024] for i in range(0, len(raw), 1024)]
+        g, b = sum(size(model.good, p) for p in parts), sum(size(model.bad, p) for p in parts)
+        x = (b - g) / (b + g) if parts else 0.0
+        assert math.isclose(got[k], 1 / (1 + math.exp(-(model.slope * x + model.intercept))), rel_tol=1e-9)
+
+
+def test_logistic_regression_by_plain_descent():
+    rng = np.random.default_rng(1)
+    y = (rng.random(400) < 0.7).astype(float)
+    x, weight = rng.normal(y, 1), np.where(y > 0, 1.6, 0.4)
+    w = np.zeros(2)
+    for _ in range(20_000):
+        p = 1 / (1 + np.exp(-(w[0] * x + w[1])))
+        w -= 0.005 * (np.array([(weight * (p - y) * x).sum(), (weight * (p - y)).sum()]) + 1e-3 * w)
+    assert np.allclose(quality.logistic(x, y, weight), w, atol=1e-4)
