@@ -20,8 +20,8 @@ REPEAT_BYTES = 200
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject (score of 0.5 or more). It learns from all labels of documents it gets."""
-    labelled = docs.select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
-    return quality.score(docs.select(*COLUMNS), quality.train(labelled)).filter("predicted = 1").select(*COLUMNS)
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.select(*COLUMNS), model).filter("predicted = 1").select(*COLUMNS)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
