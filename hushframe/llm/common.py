@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Odd multiplier of the rolling polynomial hash (modulo 2**64), and its inverse.
@@ -24,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets one of its
+    own; on a cluster it is an error, as a folder of one machine isn't shared."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: a folder that driver and executors share is needed")
         found = tempfile.mkdtemp(prefix="hushframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -37,7 +42,50 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/hushframe-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that cut wrote, once nothing reads them any more, so that the shared disk doesn't fill up."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that are broadcast as hot ones at most, and rows below which no key is hot.
+HOT_KEYS, HOT_ROWS = 50_000, 2_000
+
+
+def hot(counts: DataFrame, n: str = "n", least: int | None = None) -> tuple[DataFrame, int]:
+    """The rows of counts (one for each key, n rows of it in the table that is meant) of hot keys, and the bound above which a key is one.
+
+    The bound is `least` (HOT_ROWS), or so much more that HOT_KEYS keys at most can be above it: rows / HOT_KEYS.
+    """
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    bound = max(HOT_ROWS if least is None else least, -(-total // HOT_KEYS))
+    return counts.filter(F.col(n) > bound), bound
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """left joined with right (a written table: one row for each key, n rows of left each) on key; left's rows of hot keys meet a
+    broadcast of the hot keys' rows, of which there is a proven number at most, so that no key is one task's work."""
+    warm, bound = hot(right, n)
+    others = [c for c in right.columns if c != key]
+    both = left.join(F.broadcast(warm.withColumn("__hot", F.lit(True))), key, "left")
+    rest = both.filter("__hot is null").drop("__hot", *others).join(right.filter(F.col(n) <= bound), key)
+    return both.filter("__hot").drop("__hot").select(rest.columns).union(rest)
+
+
+def salted(rows: DataFrame, key: str, counts: DataFrame, by: Column, n: str = "n", least: int | None = None) -> DataFrame:
+    """rows with columns salt and parts: 0 and 1, but for the rows of a hot key (by counts: key, n) a hash of `by` modulo as many parts
+    as keep each part within the bound of hot keys. The parts' numbers are broadcast, HOT_KEYS at most."""
+    warm, bound = hot(counts, n, least)
+    parts = warm.select(F.col(key).alias("__key"), F.ceil(F.col(n) / bound).alias("__parts"))
+    both = rows.join(F.broadcast(parts), F.col(key) == F.col("__key"), "left")
+    parts = F.coalesce("__parts", F.lit(1).cast("long"))
+    return both.withColumns({"salt": F.pmod(F.xxhash64(by), parts), "parts": parts}).drop("__key", "__parts")
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -222,3 +270,27 @@ class Counter64:
         if not self.parts:
             return np.zeros(0, U64), np.zeros(0, np.int64)
         return merged(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of rows with equal first `keys` columns (whole numbers), of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        change[0] = last is not None and last != tuple(c[0] for c in columns)
+        at = [0, *np.flatnonzero(change), batch.num_rows]
+        for i, j in zip(at[:-1], at[1:]):
+            if change[i] and held:
+                yield held
+                held = []
+            if j > i:
+                held.append(batch.slice(i, j - i))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield held

@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import SPACE, U64, Counter64, Memo, Tokens, byte_map, cut, flat, steps
-from hushframe.llm.near_dup import groups
+from hushframe.llm.common import SPACE, U64, Counter64, Memo, Tokens, byte_map, cut, flat, groups, steps
 
 #: Bytes of the longest context.
 ORDER = 5

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.bagminhash import signatures
-from hushframe.llm.common import SPACE, U64, Tokens, byte_map, cut, flat, mix, steps
+from hushframe.llm.common import SPACE, U64, Tokens, byte_map, cut, flat, groups, mix, steps
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -176,30 +176,6 @@ def compare_outside(members: DataFrame, size: int, low: float, high: float) -> D
     return dealt.mapInArrow(compared, "a long, b long")
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
-    """Runs of rows with equal first `keys` columns (whole numbers), of sorted batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        change[0] = last is not None and last != tuple(c[0] for c in columns)
-        at = [0, *np.flatnonzero(change), batch.num_rows]
-        for i, j in zip(at[:-1], at[1:]):
-            if change[i] and held:
-                yield held
-                held = []
-            if j > i:
-                held.append(batch.slice(i, j - i))
-        last = tuple(c[-1] for c in columns)
-    if held:
-        yield held
-
-
 def text_hash(text: Column) -> Column:
     """What texts are told apart by; a null text is an empty one."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -8,6 +8,8 @@ No single index of the whole corpus is built; blocks are made so that all places
 3. A block of anchors' segments is cut into 8-byte symbols on a grid through the anchor, and gets a run-length Burrows-Wheeler index.
    Matching statistics streamed from its run ends tell which runs of whole symbols occur again; for these the bytes at either end of
    each window are compared exactly.
+   A hot anchor's segments are dealt to several blocks. Of such blocks a digest of each distinct window that the index has left
+   is counted over all blocks of the anchor, so what repeats across blocks is found too, and no anchor is one task's work.
 4. The windows found are joined to the documents as spans and removed.
 """
 
@@ -21,15 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import BASE_INV, BYTE_VALUE, U64, cut, flat, mix, powers, rolling, steps
-from hushframe.llm.near_dup import groups
+from hushframe.llm.common import BASE_INV, BYTE_VALUE, U64, cut, discard, flat, join_hot, mix, powers, rolling, salted, steps
 from hushframe.llm.runindex import RunIndex
 
 LENGTH = 400
 #: Bytes of segments that one index takes.
 BLOCK_BYTES = 4 << 20
+#: Segments of an anchor from which on it is dealt to several blocks (or more, see common.hot).
+BLOCK_SEGMENTS = 8192
+_BYTE_VALUE_2 = mix(BYTE_VALUE)
 _PLACES = 1 << 20
-SPANS = "array<struct<begin:long,end:long>>"
+NAMES = ["digest", "other", "id", "th", "begin", "end"]
 
 
 def anchor_bytes(length: int) -> int:
@@ -127,11 +131,16 @@ def extract(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("id", "th", "text", "list").mapInArrow(extracted, "anchor long, seg long, off long, text binary, id array<long>, th array<long>, lo array<long>")
 
 
-def repeated_windows(texts: list[bytes], offs: np.ndarray, times: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(segment, first window, end of windows): runs of windows that occur twice or more, counting each segment `times` times."""
+def repeated_windows(texts: list[bytes], offs: np.ndarray, times: np.ndarray, length: int, split: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """(segment, first window, end of windows): runs of windows that occur twice or more, counting each segment `times` times.
+
+    And of the segments marked by split (segments of the same anchor are elsewhere, too) a digest of each distinct window: (segment,
+    window, single, digest, digest); single says that it occurs once here.
+    """
     size = np.array([len(t) for t in texts])
     begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    data = np.frombuffer(b"".join(texts) + bytes(16), np.uint8).astype(U64)
+    raw = np.frombuffer(b"".join(texts) + bytes(16), np.uint8)
+    data = raw.astype(U64)
     two = (data[:-1] << U64(8)) | data[1:]
     four = (two[:-2] << U64(16)) | two[2:]
     eight = (four[:-4] << U64(32)) | four[4:]  # the 8 bytes from each place on
@@ -149,6 +158,7 @@ def repeated_windows(texts: list[bytes], offs: np.ndarray, times: np.ndarray, le
     kind = classes[first_symbol[seg] + (i + e - grid[seg]) // 8]
     dup = times[seg] > 1
     some = np.flatnonzero(kind >= 0)
+    first = np.ones(len(seg), bool)  # of the windows that are equal, the first
     if len(some):
         at, left = begin[seg[some]] + i[some], e[some]
         rest = length - 8 * depth  # bytes around the symbols: `left` of them before
@@ -165,17 +175,26 @@ def repeated_windows(texts: list[bytes], offs: np.ndarray, times: np.ndarray, le
             _, inverse = np.unique(key, return_inverse=True)
             _, group = np.unique(group * (len(some) + 1) + inverse, return_inverse=True)
         dup[some] |= np.bincount(group, times[seg[some]])[group] > 1
+        first[some] = False
+        first[some[np.unique(group, return_index=True)[1]]] = True
     mark = np.concatenate([[False], dup, [False]])
     edge = np.concatenate([[True], seg[1:] != seg[:-1], [True]]) if len(seg) else np.ones(1, bool)
     on = np.flatnonzero(mark[1:-1] & (edge[:-1] | ~mark[:-2]))
     off = np.flatnonzero(mark[1:-1] & (edge[1:] | ~mark[2:]))
-    return seg[on], i[on], i[off] + 1
+    open_ = np.flatnonzero(split[seg] & first)
+    at, digests = begin[seg[open_]] + i[open_], []
+    for values in (BYTE_VALUE, _BYTE_VALUE_2) if len(open_) else ():
+        p = rolling(values[raw])
+        digests.append(mix((p[at + length] - p[at]) * powers(BASE_INV, len(raw))[at]))
+    digests = digests or [np.zeros(0, U64)] * 2
+    return (seg[on], i[on], i[off] + 1), (seg[open_], i[open_], ~dup[open_], *digests)
 
 
 def judge(segs: DataFrame, length: int) -> DataFrame:
     """(id, th, begin, end): repeated bytes of each place of each segment."""
 
-    def block(held: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+    def block(held: list[pa.RecordBatch], split: bool) -> Iterator[pa.RecordBatch]:
+        """Of the rows of whole anchors, or of a part of one (split)."""
         table = pa.Table.from_batches(held)
         keys = np.stack([table[c].to_numpy() for c in ("anchor", "seg", "off")], axis=1)
         _, first, inverse = np.unique(keys, axis=0, return_index=True, return_inverse=True)
@@ -183,37 +202,83 @@ def judge(segs: DataFrame, length: int) -> DataFrame:
         places = table["id"].combine_chunks()
         counts = np.diff(places.offsets.to_numpy())
         texts = table["text"].take(pa.array(first)).to_pylist()
-        seg, start, stop = repeated_windows(texts, keys[first, 2], np.bincount(inverse, counts, len(first)).astype(np.int64), length)
-        if not len(seg):
-            return None
-        # every place of a segment with every run of it
-        row_of_place = np.repeat(np.arange(len(keys)), counts)
-        own = inverse[row_of_place]
-        runs = np.bincount(seg, minlength=len(first))
-        run_first = np.concatenate([[0], np.cumsum(runs)[:-1]])
-        place = np.repeat(np.arange(len(own)), runs[own])
-        nth = np.arange(len(place)) - np.repeat(np.cumsum(runs[own]) - runs[own], runs[own])
-        run = run_first[own[place]] + nth
-        ids, ths, lo = (table[c].combine_chunks().values.to_numpy()[place] for c in ("id", "th", "lo"))
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ths), pa.array(lo + start[run]), pa.array(lo + stop[run] + length - 1)], names=["id", "th", "begin", "end"])
+        times = np.bincount(inverse, counts, len(first)).astype(np.int64)
+        (seg, start, stop), (open_seg, window, single, digest, other) = repeated_windows(texts, keys[first, 2], times, length, np.full(len(first), split))
+        ids, ths, lo = (table[c].combine_chunks().values.to_numpy() for c in ("id", "th", "lo"))
+        if len(seg):
+            # every place of a segment with every run of it
+            row_of_place = np.repeat(np.arange(len(keys)), counts)
+            own = inverse[row_of_place]
+            runs = np.bincount(seg, minlength=len(first))
+            run_first = np.concatenate([[0], np.cumsum(runs)[:-1]])
+            place = np.repeat(np.arange(len(own)), runs[own])
+            nth = np.arange(len(place)) - np.repeat(np.cumsum(runs[own]) - runs[own], runs[own])
+            run = run_first[own[place]] + nth
+            none = pa.nulls(len(place), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(ids[place]), pa.array(ths[place]), pa.array(lo[place] + start[run]), pa.array(lo[place] + stop[run] + length - 1)], names=NAMES)
+        if len(open_seg):
+            # a window that is single here has one place, that of its segment's only row; of others all places are known to repeat
+            place = np.concatenate([[0], np.cumsum(counts)])[first[open_seg]]
+            begin = lo[place] + window
+            columns = [ids[place], ths[place], begin, begin + length]
+            yield pa.RecordBatch.from_arrays([pa.array(digest.view(np.int64)), pa.array(other.view(np.int64)), *(pa.array(c, mask=~single) for c in columns)], names=NAMES)
 
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [], 0
-        for group in groups(batches, 1):
+        for parts, group in runs_within(batches, 2, BLOCK_BYTES):
             own = sum(b.column(3).nbytes for b in group)
-            if held and weight + own > BLOCK_BYTES:
-                found = block(held)
-                if found is not None:
-                    yield found
+            if parts or weight + own > BLOCK_BYTES:
+                if held:
+                    yield from block(held, False)
                 held, weight = [], 0
-            held += group
-            weight += own
-        found = block(held) if held else None
-        if found is not None:
-            yield found
-
-    dealt = segs.repartition("anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(judged, "id long, th long, begin long, end long")
+            if parts:
+                yield from block(group, True)
+            else:
+                held += group
+                weight += own
+        if held:
+            yield from block(held, False)
+
+    counts = cut(segs.groupBy("anchor").agg(F.count("*").alias("n")), "segment-counts")
+    dealt = salted(segs, "anchor", counts, F.col("seg"), least=BLOCK_SEGMENTS).select("anchor", "salt", "seg", "text", "off", "id", "th", "lo", "parts")
+    dealt = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "seg", "off")
+    found = cut(dealt.mapInArrow(judged, "digest long, other long, id long, th long, begin long, end long"), "judged")
+    discard(counts)
+    places = F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "th", "begin", "end"))).alias("places")
+    # rows of one digest: one for each block of a hot anchor at most
+    across = found.filter("digest is not null").groupBy("digest", "other").agg(F.count("*").alias("n"), places).filter("n > 1").select(F.explode("places").alias("p")).select("p.*")
+    return found.filter("digest is null").select("id", "th", "begin", "end").union(across)
+
+
+def runs_within(batches: Iterator[pa.RecordBatch], keys: int, most: int) -> Iterator[tuple[bool, list[pa.RecordBatch]]]:
+    """(split, rows) of runs of rows with equal first `keys` columns, of sorted batches: split says that a run's rows are elsewhere, too:
+    in other parts (a column parts above 1), or in other rows given out, as a run of more than 2 x most bytes comes in several."""
+    last, held, weight, cut_before = None, [], 0, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        change = np.ones(batch.num_rows, bool)
+        change[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+        at = [*np.flatnonzero(change), batch.num_rows]
+        for i, j in zip(at[:-1], at[1:]):
+            key = tuple(c[i] for c in columns)
+            if last is not None and key != last and held:
+                yield cut_before or held[0].column("parts")[0].as_py() > 1, held
+                held, weight, cut_before = [], 0, False
+            elif last is not None and key != last:
+                cut_before = False
+            last = key
+            step = max(1, (j - i) * most // max(1, batch.slice(i, j - i).column("text").nbytes))
+            for k in range(i, j, step):
+                part = batch.slice(k, min(step, j - k))
+                if weight > most:
+                    yield True, held
+                    held, weight, cut_before = [], 0, True
+                held.append(part)
+                weight += part.column("text").nbytes
+    if held:
+        yield cut_before or held[0].column("parts")[0].as_py() > 1, held
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -221,22 +286,24 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, doc_id: str = "doc_
     also starts elsewhere, in any row (the same one included).
 
     Strings are judged on the input, so all copies go; rows with the same text and id are different rows. Columns of these four
-    names are replaced, others stay. A null text is an empty one. Cutting bytes may split a character, so kept is binary.
-    length is 64 or more.
+    names are replaced (and those that begin with __ id, th, text or spans are dropped), others stay; ids may be of any type, null or
+    repeated. A null text is an empty one. Cutting bytes may split a character, so kept is binary. length is 64 or more.
     """
     if length < 64:
         raise ValueError("length is less than 64")
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    # documents are known by id and text hash; rows equal in both have equal results
-    keyed = docs.withColumns({"__id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "__text": F.coalesce(F.col(text), F.lit(""))})
-    keyed = keyed.withColumn("__th", F.xxhash64("__text"))
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "__id", "__th", "__text", "__spans")
+    # rows are known by 128 bits of hashes of id and text; rows equal in both have equal results
+    own = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.withColumns({"__text": own, "__id": F.xxhash64(F.lit(9), F.col(doc_id), own), "__th": F.xxhash64(own, F.col(doc_id))})
     plain = keyed.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("__text").alias("text"))
     anchors = cut(find_anchors(plain, length), "anchors")
-    again = anchors.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1").select("anchor")
-    lists = anchors.join(again, "anchor", "left_semi").groupBy("id", "th").agg(F.collect_set(F.struct("lo", "n", "off", "anchor")).alias("list"))
+    again = cut(anchors.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1"), "repeated-anchors")
+    lists = join_hot(anchors, again, "anchor", "times").groupBy("id", "th").agg(F.collect_set(F.struct("lo", "n", "off", "anchor")).alias("list"))
     segs = cut(extract(plain.join(lists, ["id", "th"]), length), "segments")
+    discard(anchors, again)
     spans = judge(segs, length).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("__spans"))
     spans = cut(spans.withColumnsRenamed({"id": "__id", "th": "__th"}), "spans")
+    discard(segs)
     joined = keyed.join(spans, ["__id", "__th"], "left").select(*docs.columns, "__text", "__spans")
     at = len(docs.columns)
 

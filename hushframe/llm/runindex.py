@@ -39,6 +39,9 @@ class RunIndex:
         self.order = np.argsort(rank, kind="stable")
         before = self.code[self.order - 1]  # the transform: the symbol in front of each row's suffix (cyclic)
         self.heads = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))  # rows at which a run begins
+        self.sampled = self._samples()
+        # what is kept: the run heads' samples, and the suffix order to hand out classes by; the symbols and levels are done with
+        del self.levels, self.code
 
     def _extent(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common prefix of the suffixes at a and at b."""
@@ -50,19 +53,22 @@ class RunIndex:
                 x[same] += 1 << k
         return length
 
+    def _samples(self) -> tuple[np.ndarray, np.ndarray]:
+        """(position, statistic): of the suffixes at run heads, and of the first and the least suffix."""
+        heads = self.heads[self.heads > 0]
+        position, value = self.order[heads], self._extent(self.order[heads], self.order[heads - 1])
+        if self.size:
+            row = int(np.flatnonzero(self.order == 0)[0])
+            start = self._extent(np.zeros(1, np.int64), self.order[row - 1 : row]) if row else np.zeros(1, np.int64)
+            position, value = np.concatenate([position, [0, self.order[0]]]), np.concatenate([value, start, [0]])
+        return position, value
+
     def statistics(self) -> np.ndarray:
         """For each text position, how many symbols its suffix shares with the one before it in suffix order (0 for the first)."""
-        sampled = self.heads[self.heads > 0]
-        position = self.order[sampled]
+        position, sample = self.sampled
         value = np.zeros(self.size, np.int64)
         known = np.zeros(self.size, bool)
-        value[position] = self._extent(position, self.order[sampled - 1])
-        known[position] = True
-        known[self.order[0]] = True
-        known[0] = True  # nothing to stream from
-        if self.size and self.order[0] != 0 and not (position == 0).any():
-            row = int(np.flatnonzero(self.order == 0)[0])
-            value[0] = self._extent(np.zeros(1, np.int64), self.order[row - 1 : row])[0]
+        value[position], known[position] = sample, True
         source = np.maximum.accumulate(np.where(known, np.arange(self.size), 0))
         return np.maximum(0, value[source] - (np.arange(self.size) - source))
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.llm import decontaminate, near_dup, repeats
+from hushframe.llm import common, decontaminate, near_dup, repeats
 from hushframe.llm.bagminhash import signatures
 from hushframe.llm.common import mix
 from hushframe.llm.runindex import RunIndex
@@ -132,6 +132,29 @@ def test_repeats(spark, make, clashing, length):
     assert [got[k] for k in range(len(rows))] == brute_repeats([(t or "").encode() for t in rows], length)
 
 
+@pytest.mark.parametrize("block", [1 << 10, 4 << 20])
+def test_hot_anchors_in_parts(spark, make, monkeypatch, block):
+    """A line in most documents, between ever other words: its anchors' segments go to several blocks."""
+    monkeypatch.setattr(repeats, "BLOCK_SEGMENTS", 4)
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", block)
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rng = random.Random(block)
+    word = lambda n: "".join(rng.choices("abcdefgh", k=n))
+    line, sides = word(150), [word(40) for _ in range(6)]
+    rows = [word(rng.randint(0, 90)) + rng.choice(sides) + line[rng.randint(0, 3) :] + rng.choice(sides) + word(rng.randint(0, 90)) for _ in range(80)]
+    rows += [rows[0], rows[1], "z" * 300, None]
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.remove_repeats(make(spark, rows), length=160).collect()}
+    want = brute_repeats([(t or "").encode() for t in rows], 160)
+    assert [got[k] for k in range(len(rows))] == want and sum(x[1] > 0 for x in want) > 40
+
+
+def test_ids_of_any_kind(spark):
+    text = "".join(random.Random(1).choices("abcdefgh ", k=500))
+    docs = spark.createDataFrame([("a", text, 1), ("b", text, 2), (None, "x", 3)], "doc_id string, text string, __id int")
+    got = repeats.remove_repeats(docs)
+    assert sorted((r["doc_id"] or "", r["n_removed"]) for r in got.collect()) == [("", 0), ("a", 500), ("b", 500)]
+
+
 def test_equal_rows_are_repeats_of_each_other(spark, make, empty):
     text = "".join(random.Random(1).choices("abcdefgh ", k=500))
     got = repeats.remove_repeats(make(spark, [text, text, text + "!", "other"], [3, 3, None, 4])).collect()
