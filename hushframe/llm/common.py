@@ -58,23 +58,27 @@ def discard(*tables: DataFrame) -> None:
 HOT_KEYS, HOT_ROWS = 50_000, 2_000
 
 
-def hot(counts: DataFrame, n: str = "n", least: int | None = None) -> tuple[DataFrame, int]:
-    """The rows of counts (one for each key, n rows of it in the table that is meant) of hot keys, and the bound above which a key is one.
+def hot(counts: DataFrame, n: str = "n", least: int | None = None) -> tuple[DataFrame | None, int]:
+    """The rows of counts (one for each key, n rows of it in the table that is meant) of hot keys, None if there are none, and the bound
+    above which a key is one.
 
     The bound is `least` (HOT_ROWS), or so much more that HOT_KEYS keys at most can be above it: rows / HOT_KEYS.
     """
-    total = counts.agg(F.sum(n)).first()[0] or 0
-    bound = max(HOT_ROWS if least is None else least, -(-total // HOT_KEYS))
-    return counts.filter(F.col(n) > bound), bound
+    total, most = counts.agg(F.sum(n), F.max(n)).first()
+    bound = max(HOT_ROWS if least is None else least, -(-(total or 0) // HOT_KEYS))
+    return (counts.filter(F.col(n) > bound) if (most or 0) > bound else None), bound
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, n: str = "n") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], n: str = "n") -> DataFrame:
     """left joined with right (a written table: one row for each key, n rows of left each) on key; left's rows of hot keys meet a
     broadcast of the hot keys' rows, of which there is a proven number at most, so that no key is one task's work."""
     warm, bound = hot(right, n)
-    others = [c for c in right.columns if c != key]
-    both = left.join(F.broadcast(warm.withColumn("__hot", F.lit(True))), key, "left")
-    rest = both.filter("__hot is null").drop("__hot", *others).join(right.filter(F.col(n) <= bound), key)
+    keys = [key] if isinstance(key, str) else key
+    others = [c for c in right.columns if c not in keys]
+    if warm is None:
+        return left.join(right, keys)
+    both = left.join(F.broadcast(warm.withColumn("__hot", F.lit(True))), keys, "left")
+    rest = both.filter("__hot is null").drop("__hot", *others).join(right.filter(F.col(n) <= bound), keys)
     return both.filter("__hot").drop("__hot").select(rest.columns).union(rest)
 
 
@@ -82,6 +86,8 @@ def salted(rows: DataFrame, key: str, counts: DataFrame, by: Column, n: str = "n
     """rows with columns salt and parts: 0 and 1, but for the rows of a hot key (by counts: key, n) a hash of `by` modulo as many parts
     as keep each part within the bound of hot keys. The parts' numbers are broadcast, HOT_KEYS at most."""
     warm, bound = hot(counts, n, least)
+    if warm is None:
+        return rows.withColumns({"salt": F.lit(0).cast("long"), "parts": F.lit(1).cast("long")})
     parts = warm.select(F.col(key).alias("__key"), F.ceil(F.col(n) / bound).alias("__parts"))
     both = rows.join(F.broadcast(parts), F.col(key) == F.col("__key"), "left")
     parts = F.coalesce("__parts", F.lit(1).cast("long"))

@@ -1,13 +1,17 @@
 """Operator 4, near-duplicates: BagMinHash signatures of word shingles, banding, and exact verification of multiset overlap.
 
-1. Each text's signature is made map side. Texts are told apart by a 64-bit hash from there on, so that copies count once.
-2. Bands of the signature make buckets. In each bucket every text is paired with two of its texts (the smallest and the largest
-   hash), which is linear in the bucket's size. Pairs are verified on the whole texts; those that pass are links.
+1. Equal texts (by 128 bits of hashes) are put together first, so that copies count once; each distinct text is a node with a number.
+   Its signature is made where it is put together, and written with it.
+2. Bands of the signature make buckets. In each bucket every text is paired with two of its texts, the hubs (the smallest and the
+   largest number), which is linear in the bucket's size. Pairs are verified on the whole texts; those that pass are links.
 3. Connected components of the links. Buckets whose texts are now one component need no more work. In every other bucket the texts
    outside its largest component are compared with all its texts, in blocks of bounded size: pairs of different components whose
    signatures agree in enough components are verified too: first likely links, and after joining what they link, all that may be one.
    So no link between texts that share a bucket is lost to the choice in step 2, and no bucket is capped.
 4. A class is a component; it is named by its smallest document id.
+
+Hot buckets, hubs, classes and texts (as large as any share of the rows) meet broadcasts of a bounded number of hot keys, or are dealt
+to several tasks; a hub's text travels once to each of its tasks and not with each pair.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.bagminhash import signatures
-from hushframe.llm.common import SPACE, U64, Tokens, byte_map, cut, flat, groups, mix, steps
+from hushframe.llm.common import SPACE, U64, Tokens, byte_map, cut, discard, flat, groups, join_hot, mix, salted, steps
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -28,10 +32,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
 #: Components of a signature: more than the bands use, so that step 3 can tell pairs below SIMILARITY from others by them.
 SIZE = 640
-#: Pairs whose signatures are this many standard deviations below SIMILARITY are not verified in step 3 (1e-4 of those at it).
-DEVIATIONS = 3.7
-#: Texts of a block in step 3, and pairs that are verified at once.
-BLOCK, PAIRS = 2048, 512
+#: Pairs whose signatures are this many standard deviations below SIMILARITY are not verified in step 3 (1.3e-5 of those at it).
+DEVIATIONS = 4.2
+#: Texts of a block in step 3.
+BLOCK = 2048
 _WORDS = byte_map(SPACE)
 
 
@@ -56,8 +60,14 @@ def bags(tokens: Tokens, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return key[at] & U64((1 << 44) - 1), np.diff(np.concatenate([at, [len(key)]])), (key[at] >> U64(44)).astype(np.int64)
 
 
-def sign(docs: DataFrame, words: int, bands: int, rows: int, size: int) -> DataFrame:
-    """(doc_id, th, bands, sketch) of docs (doc_id, text): band hashes (none for a text without words), a byte for each component."""
+def text_hash(text: Column) -> tuple[Column, Column]:
+    """What texts are told apart by, 128 bits; a null text is an empty one."""
+    own = F.coalesce(text, F.lit(""))
+    return F.xxhash64(own), F.xxhash64(F.lit(4), own)
+
+
+def sign(texts: DataFrame, words: int, bands: int, rows: int, size: int) -> DataFrame:
+    """(h1, h2, text, bands, sketch) of texts (h1, h2, text): band hashes (none for a text without words), a byte for each component."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,73 +87,109 @@ def sign(docs: DataFrame, words: int, bands: int, rows: int, size: int) -> DataF
             keys, sketches, some = np.concatenate(keys), np.concatenate(sketches), np.concatenate(some)
             first = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
             sketch = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((np.arange(len(some) + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(sketches))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(first), pa.array(keys[some].reshape(-1))), sketch], names=["doc_id", "th", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(first), pa.array(keys[some].reshape(-1))), sketch], names=["h1", "h2", "text", "bands", "sketch"])
 
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(signed, f"doc_id {kind}, th long, bands array<long>, sketch binary")
+    return texts.select("h1", "h2", "text").mapInArrow(signed, "h1 long, h2 long, text string, bands array<long>, sketch binary")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Of pairs (a, b) of text hashes those whose shingle multisets overlap by `least` of their union or more; exact, whole texts."""
-    one = pairs.join(texts.select(F.col("th").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.join(texts.select(F.col("th").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+def verified(pairs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
+    """Of pairs (a, b) of nodes (a written table) those whose shingle multisets overlap by `least` of their union or more; exact, whole
+    texts. b is a hub: its pairs stand behind one row with its text, in as many tasks as they need."""
+    sizes = cut(pairs.groupBy("b").agg(F.count("*").alias("n")), "hub-sizes")
+    dealt = cut(salted(pairs, "b", sizes, F.col("a")).select("a", "b", "salt"), "pairs")
+    text = lambda c: nodes.select(F.col("node").alias(c), "text")
+    members = dealt.join(text("a"), "a").select("b", "salt", "a", "text")
+    hubs = dealt.select("b", "salt").distinct().join(text("b"), "b").select("b", "salt", F.lit(-1).cast("long").alias("a"), "text")
+    rows = members.union(hubs).repartition("b", "salt").sortWithinPartitions("b", "salt", "a")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, PAIRS) for b in batches for at in range(0, b.num_rows, PAIRS)):
-            bag = []
-            for k in (2, 3):
-                data, offsets = flat(batch.column(k))
-                own = []
-                for i, j in steps(offsets):
-                    element, weight, row = bags(Tokens(data, offsets[i : j + 1], _WORDS), words)
-                    own.append((element, weight, row + i))
-                bag.append([np.concatenate(x) for x in zip(*own)])
-            (e, w, r), (f, v, s) = bag
-            key_a, key_b = (r.astype(U64) << U64(44)) | e, (s.astype(U64) << U64(44)) | f
-            at = np.minimum(np.searchsorted(key_b, key_a), max(0, len(key_b) - 1))
-            same = key_b[at] == key_a if len(key_b) else np.zeros(len(key_a), bool)
-            n = batch.num_rows
-            common = np.bincount(r[same], np.minimum(w[same], v[at[same]]), n)
-            union = np.bincount(r, w, n) + np.bincount(s, v, n) - common
-            yield batch.filter(pa.array(common >= least * union - 1e-9)).select([0, 1])
-
-    return both.mapInArrow(checked, "a long, b long")
+        hub, hub_weight = np.zeros(0, U64), np.zeros(0, np.int64)
+        for batch in batches:
+            a, (data, offsets) = batch.column(2).to_numpy(), flat(batch.column(3))
+            passed = np.zeros(len(a), bool)
+            for i, j in steps(offsets):
+                element, weight, row = bags(Tokens(data, offsets[i : j + 1], _WORDS), words)
+                is_hub = a[i:j] < 0
+                group = np.cumsum(is_hub)  # 0: of the hub before this step
+                key, of_hub = (group[row].astype(U64) << U64(44)) | element, is_hub[row]
+                hubs_key, hubs_weight = np.concatenate([hub, key[of_hub]]), np.concatenate([hub_weight, weight[of_hub]])
+                own_key, own_weight, own_row = key[~of_hub], weight[~of_hub], row[~of_hub]
+                if len(hubs_key):
+                    at = np.minimum(np.searchsorted(hubs_key, own_key), len(hubs_key) - 1)
+                    same = hubs_key[at] == own_key
+                    common = np.bincount(own_row[same], np.minimum(own_weight[same], hubs_weight[at[same]]), j - i)
+                    hub_size = np.bincount((hubs_key >> U64(44)).astype(np.int64), hubs_weight, int(group[-1]) + 1)
+                    union = np.bincount(own_row, own_weight, j - i) + hub_size[group] - common
+                    passed[i:j] = ~is_hub & (common >= least * union - 1e-9)
+                if is_hub.any():
+                    last = group[row] == group[-1]
+                    hub, hub_weight = element[last & of_hub], weight[last & of_hub]
+            yield batch.filter(pa.array(passed)).select([2, 0])
+
+    found = cut(rows.mapInArrow(checked, "a long, b long"), "links")
+    discard(sizes, dealt)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, label) of all nodes of links (a, b): the smallest node that links lead to, by rounds of neighbours' labels and jumps."""
-    edges = cut(links.select(F.col("a").alias("node"), F.col("b").alias("other")).union(links.select("b", "a")).distinct(), "edges")
-    labels = cut(edges.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("label")), "labels")
+    """(node, label) of all nodes of links (a, b); nodes have the same label if links lead from one to the other.
+
+    By contraction: each node goes to the smallest of its neighbours and itself, links are moved along and those within one node go,
+    until none is left. Numbers come from hashes, so the number of nodes falls by half or more in a round. The labels are put together
+    at the end, from the small rounds' maps back to the first.
+    """
+    ends = lambda e: e.select(F.col("a").alias("node"), F.col("b").alias("other")).union(e.select("b", "a"))
+    edges, maps = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges"), []
     while True:
-        hop = edges.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("hop"))
-        near = labels.join(hop, "node").select("node", F.col("label").alias("before"), F.least("label", "hop").alias("label"))
-        onward = labels.select(F.col("node").alias("label"), F.col("label").alias("onward"))
-        moved = cut(near.join(onward, "label").select("node", "before", F.least("label", "onward").alias("label")), "labels")
-        labels = moved.select("node", "label")
-        if moved.filter("before <> label").isEmpty():
-            return labels
+        up = cut(ends(edges).groupBy("node").agg(F.min("other").alias("least"), F.count("*").alias("n")).select("node", F.least("node", "least").alias("label"), "n"), "labels")
+        maps.append(up)
+        # half a step at a time: hubs' links are hot on one side
+        half = join_hot(edges, up.select(F.col("node").alias("a"), F.col("label").alias("to_a"), "n"), "a").select("to_a", "b")
+        both = join_hot(half, up.select(F.col("node").alias("b"), F.col("label").alias("to_b"), "n"), "b").filter("to_a <> to_b")
+        onward = cut(both.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        discard(edges)
+        edges = onward
+        if edges.isEmpty():
+            break
+    labels = maps[-1].select("node", "label")
+    for earlier in reversed(maps[:-1]):
+        labels = earlier.join(labels.select(F.col("node").alias("label"), F.col("label").alias("onward")), "label", "left").select("node", F.coalesce("onward", "label").alias("label"))
+    labels = cut(labels, "labels")
+    discard(edges, *maps)
+    return labels
 
 
 def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (node, label) after more links (a, b): components of the labels that they join, which are few."""
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
-    every = labels.join(ends, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
+    every = cut(labels.join(ends, "node", "full").select("node", F.coalesce("label", "node").alias("label")), "labels")
     of = lambda c: every.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}"))
-    joins = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).filter("a <> b").distinct()
-    joined = components(joins).select(F.col("node").alias("label"), F.col("label").alias("new"))
-    return cut(every.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+    joins = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).filter("a <> b")
+    joined = components(joins)
+    news = joined.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    found = cut(every.join(news, "label", "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+    discard(labels, every, joined)
+    return found
 
 
-def compare_outside(members: DataFrame, size: int, low: float, high: float) -> DataFrame:
-    """(a, b): pairs of step 3 with an estimate of low or more and below high, of members (bucket, th, label, sketch, bands); a pair
-    comes from the first band that it shares."""
+def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, label, out, n, outside): the rows of buckets that have several labels; out: not of the bucket's most frequent one."""
+    members = cut(shared.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "members")
     shares = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    sizes = shares.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).filter("most.n < n").select("bucket", F.col("most.label").alias("main"), "n", (F.col("n") - F.col("most.n")).alias("outside"))
-    rows = members.join(sizes, "bucket").withColumn("out", F.col("label") != F.col("main"))
+    sizes = shares.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).filter("most.n < n")
+    sizes = cut(sizes.select("bucket", F.col("most.label").alias("main"), "n", (F.col("n") - F.col("most.n")).alias("outside")), "open-buckets")
+    found = cut(join_hot(members, sizes, "bucket").withColumn("out", F.col("label") != F.col("main")).drop("main"), "open-rows")
+    discard(members, sizes)
+    return found
+
+
+def compare_outside(rows: DataFrame, sketches: DataFrame, size: int, low: float, high: float) -> DataFrame:
+    """Distinct (a, b): pairs of step 3 with an estimate of low or more and below high, of open_rows and the nodes' sketches."""
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("th"), blocks(n)).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    columns = ("out", "th", "label", "sketch", "bands")
+    rows = rows.join(sketches, "node")
+    columns = ("out", "node", "label", "sketch")
     against = rows.select("bucket", own("n").alias("k"), all_("outside").alias("q"), F.lit(False).alias("asks"), *columns)
     asking = rows.filter("out").select("bucket", all_("n").alias("k"), own("outside").alias("q"), F.lit(True).alias("asks"), *columns)
     dealt = against.union(asking)
@@ -151,20 +197,17 @@ def compare_outside(members: DataFrame, size: int, low: float, high: float) -> D
 
     def pairs(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         table = pa.Table.from_batches(group)
-        asks, out, th, label = (table[c].to_numpy() for c in ("asks", "out", "th", "label"))
-        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(th), size)
-        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(th), -1)
-        band = int(np.argmax(bands[0] == table["bucket"][0].as_py()))
+        asks, out, node, label = (table[c].to_numpy() for c in ("asks", "out", "node", "label"))
+        sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), size)
         a, b = [], []
         rest = np.flatnonzero(~asks)
         for q in np.flatnonzero(asks):
-            others = rest[(label[rest] != label[q]) & (~out[rest] | (th[q] < th[rest]))]
+            others = rest[(label[rest] != label[q]) & (~out[rest] | (node[q] < node[rest]))]
             agree = (sketch[others] == sketch[q]).mean(axis=1)
             estimate = (agree - 1 / 256) / (1 - 1 / 256)
             hit = others[(estimate >= low) & (estimate < high)]
-            hit = hit[np.argmax(bands[hit] == bands[q], axis=1) == band]
-            a.append(np.minimum(th[hit], th[q]))
-            b.append(np.maximum(th[hit], th[q]))
+            a.append(node[hit])
+            b.append(np.full(len(hit), node[q]))
         return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,47 +216,49 @@ def compare_outside(members: DataFrame, size: int, low: float, high: float) -> D
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return dealt.mapInArrow(compared, "a long, b long")
-
-
-def text_hash(text: Column) -> Column:
-    """What texts are told apart by; a null text is an empty one."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    return dealt.mapInArrow(compared, "a long, b long").distinct()
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, class_id, class_docs, kept) for each row of docs: hashed_classes without the text hash."""
-    return hashed_classes(docs, **options).drop("th")
+    """(doc_id, class_id, class_docs, kept) for each row of docs: hashed_classes without the text hashes."""
+    return hashed_classes(docs, **options).drop("h1", "h2")
 
 
 def hashed_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SIZE) -> DataFrame:
-    """(doc_id, th, class_id, class_docs, kept) for each row of docs; th is text_hash of its text.
+    """(doc_id, h1, h2, class_id, class_docs, kept) for each row of docs; h1 and h2 are text_hash of its text.
 
     Rows are in one class if they have the same text or if links lead from one to the other; a link is a weighted Jaccard similarity
     of `least` or more of their multisets of runs of `words` words (a shorter text is one run; a text without words, which a null
     text is too, has none and is alone with its copies). class_id is the smallest id of the class (null if all are), class_docs the
     number of its rows, and exactly one row of it is kept: one of that id. Ids may repeat or be null; no row is lost.
     """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = cut(sign(docs, words, bands, rows, size), "signatures")
-    banded = cut(signed.select("th", "bands").dropDuplicates(["th"]).select("th", F.explode("bands").alias("bucket")), "bands")
-    ends = cut(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("th").alias("first"), F.max("th").alias("last")).filter("n > 1"), "buckets")
-    shared = cut(banded.join(ends, "bucket"), "shared")
-    candidates = shared.select("th").distinct()
-    texts = cut(docs.withColumn("th", F.xxhash64("text")).join(candidates, "th").dropDuplicates(["th"]).select("th", "text"), "texts")
-    other = F.explode(F.array_distinct(F.array("first", "last")))
-    star = shared.select("th", other.alias("to")).filter("th <> to").select(F.least("th", "to").alias("a"), F.greatest("th", "to").alias("b")).distinct()
-    links = cut(verified(star, texts, words, least), "links")
+    h1, h2 = text_hash(F.col(text))
+    docs = docs.select(F.col(doc_id).alias("doc_id"), h1.alias("h1"), h2.alias("h2"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    distinct = docs.groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    nodes = cut(sign(distinct, words, bands, rows, size).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    banded = nodes.select("node", F.explode("bands").alias("bucket"))
+    ends = cut(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).filter("n > 1"), "buckets")
+    shared = cut(join_hot(banded, ends, "bucket"), "shared")
+    hub = F.explode(F.array_distinct(F.array("first", "last")))
+    star = cut(shared.select(F.col("node").alias("a"), hub.alias("b")).filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").groupBy("x", "y").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("a", "b"), "star")
+    links = verified(star, nodes, words, least)
     labels = components(links)
-    sketches = signed.join(candidates, "th").dropDuplicates(["th"]).select("th", "sketch", "bands")
+    discard(star, links)
     bar = least - DEVIATIONS * float(np.sqrt(least * (1 - least) / size))
     for low, high in ((least, 2.0), (bar, least)):
-        members = shared.select("bucket", "th").join(labels.withColumnRenamed("node", "th"), "th", "left").join(sketches, "th").select("bucket", "th", F.coalesce("label", "th").alias("label"), "sketch", "bands")
-        more = cut(verified(cut(compare_outside(members, size, low, high), "outside"), texts, words, least), "links")
+        open_ = open_rows(shared, labels)
+        likely = cut(compare_outside(open_, nodes.select("node", "sketch"), size, low, high), "outside")
+        more = verified(likely, nodes, words, least)
         if not more.isEmpty():
             labels = relabelled(labels, more)
-    named = signed.select("doc_id", "th").join(labels.withColumnRenamed("node", "th"), "th", "left").withColumn("class", F.coalesce("label", "th"))
-    named = cut(named.select("doc_id", "th", "class", F.monotonically_increasing_id().alias("row")), "classes")
-    # the smallest id, then any one row of it: a total order, so one row is kept
-    kept = named.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best"), F.count("*").alias("class_docs"))
-    return named.join(kept, "class").select(F.col("doc_id").alias(doc_id), "th", F.col("best.doc_id").alias("class_id"), "class_docs", (F.col("row") == F.col("best.row")).alias("kept"))
+        discard(open_, likely, more)
+    # one row for each text, with its class; then the classes' rows
+    named = cut(docs.select("doc_id", "h1", "h2", F.monotonically_increasing_id().alias("row")), "rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
+    copies = named.groupBy("h1", "h2").agg(F.count("*").alias("n"), best)
+    of_text = nodes.select("h1", "h2", "node").join(labels, "node", "left").select("h1", "h2", F.coalesce("label", "node").alias("class"))
+    of_text = cut(copies.join(of_text, ["h1", "h2"]), "texts")
+    whole = cut(of_text.groupBy("class").agg(F.min("best").alias("kept_row"), F.sum("n").alias("class_docs"), F.count("*").alias("texts")), "classes")
+    known = cut(join_hot(of_text, whole, "class", "texts").select("h1", "h2", "n", F.col("kept_row.doc_id").alias("class_id"), "class_docs", F.col("kept_row.row").alias("kept_row")), "texts")
+    discard(of_text, whole, shared, ends, nodes)
+    return join_hot(named, known, ["h1", "h2"]).select(F.col("doc_id").alias(doc_id), "h1", "h2", "class_id", "class_docs", (F.col("row") == F.col("kept_row")).alias("kept"))
