@@ -7,7 +7,7 @@ of each document that is left goes. Part of the optional subpackage hushframe.ll
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm import decontaminate, near_dup, packing, quality, repeats
@@ -27,10 +27,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies: the one with the smallest id. A row that repeats is there once. Ids may
     repeat or be null: rows of one id with different texts are told apart by the texts' hashes, as near_dup does."""
-    kept = near_dup.hashed_classes(docs).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("th").alias("kept_th"))
-    rows = docs.select(*COLUMNS, near_dup.text_hash(F.col("text")).alias("th"))
-    found = rows.join(kept, (F.col("th") == F.col("kept_th")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return found.dropDuplicates(["doc_id", "th"]).select(*COLUMNS)
+    kept = near_dup.hashed_classes(docs).filter("kept").select(row_hash("doc_id", "h1", "h2").alias("rh"), "h1", "h2")
+    h1, h2 = near_dup.text_hash(F.col("text"))
+    rows = docs.select(*COLUMNS, h1.alias("h1"), h2.alias("h2")).withColumn("rh", row_hash("doc_id", "h1", "h2"))
+    return rows.join(kept, ["rh", "h1", "h2"], "left_semi").dropDuplicates(["rh", "h1", "h2"]).select(*COLUMNS)
+
+
+def row_hash(*columns: str) -> Column:
+    """Rows of one id and text have the same one; a null id counts as one."""
+    return F.xxhash64(F.lit(2), *columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
