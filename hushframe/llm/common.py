@@ -258,24 +258,32 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Counter64:
-    """Counts of 64-bit keys of one task: added step by step, merged when the parts have grown."""
+    """Counts of 64-bit keys of one task, added step by step. It holds `limit` distinct keys at most and as many that wait to be merged;
+    more than that are given out, for a shuffle to add up."""
 
-    def __init__(self, limit: int = 4_000_000):
+    def __init__(self, limit: int = 1 << 20):
         self.parts, self.waiting, self.limit = [], 0, limit
 
-    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
-        if counts is None:
-            keys, counts = np.unique(keys, return_counts=True)
+    def add(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Count keys; if that makes too many, all counts so far, which are then no longer held."""
+        keys, counts = np.unique(keys, return_counts=True)
         self.parts.append((keys, counts.astype(np.int64)))
         self.waiting += len(keys)
-        if self.waiting > self.limit and len(self.parts) > 1:
-            self.parts = [self.total()]
-            self.waiting = 0
+        if self.waiting <= self.limit:
+            return None
+        found = self.total()
+        if len(found[0]) > self.limit:
+            return found
+        self.parts, self.waiting = [found], 0
+        return None
 
     def total(self) -> tuple[np.ndarray, np.ndarray]:
+        """All counts that are held; it holds none from then on."""
         if not self.parts:
             return np.zeros(0, U64), np.zeros(0, np.int64)
-        return merged(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))
+        found = merged(np.concatenate([k for k, _ in self.parts]), np.concatenate([n for _, n in self.parts]))
+        self.parts, self.waiting = [], 0
+        return found
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:

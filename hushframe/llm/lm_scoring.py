@@ -18,6 +18,7 @@ with it. So the code length of a byte is a function of the last ORDER + 1 bytes;
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,19 +69,24 @@ def grams(tokens: Tokens, order: int) -> tuple[np.ndarray, np.ndarray]:
 def count_training(docs: DataFrame, order: int) -> DataFrame:
     """(kind, key, n): n-grams, words by hash, and documents, of all rows of docs (a column text)."""
 
+    def rows(kind: int, found: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
+        keys, n = found or (np.zeros(0, U64), np.zeros(0, np.int64))
+        for at in range(0, len(keys), 1 << 18):
+            part = keys[at : at + (1 << 18)].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[at : at + (1 << 18)])], names=["kind", "key", "n"])
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram, word, rows = Counter64(), Counter64(), 0
+        gram, word, documents = Counter64(), Counter64(), 0
         for batch in batches:
             data, offsets = flat(batch.column(0))
-            rows += batch.num_rows
+            documents += batch.num_rows
             for i, j in steps(offsets):
                 tokens = Tokens(data, offsets[i : j + 1], _WORDS)
-                gram.add(grams(tokens, order)[0])
-                word.add(tokens.hashes())
-        for kind, (keys, n) in ((GRAM, gram.total()), (WORD, word.total()), (DOCUMENT, (np.zeros(1, U64), np.array([rows])))):
-            for at in range(0, len(keys), 1 << 20):
-                part = keys[at : at + (1 << 20)].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), kind, np.int32)), pa.array(part), pa.array(n[at : at + (1 << 20)])], names=["kind", "key", "n"])
+                yield from rows(GRAM, gram.add(grams(tokens, order)[0]))
+                yield from rows(WORD, word.add(tokens.hashes()))
+        yield from rows(GRAM, gram.total())
+        yield from rows(WORD, word.total())
+        yield from rows(DOCUMENT, (np.zeros(1, U64), np.array([documents])))
 
     return docs.select("text").mapInArrow(counted, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
@@ -241,7 +247,9 @@ def joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
     return np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[str, Scorer] = {}
+#: Bytes of text that one step of scoring takes.
+_STEP = 1 << 18
 
 
 def score(docs: DataFrame, training: DataFrame, *, order: int = ORDER, nodes: int = NODES, words: int = WORDS) -> DataFrame:
@@ -267,7 +275,7 @@ def score(docs: DataFrame, training: DataFrame, *, order: int = ORDER, nodes: in
     frequent = kept_within(word, words).toArrow()  # at most `words` rows
     known, known_n = frequent["key"].to_numpy().view(U64), frequent["n"].to_numpy()
     shared = spark.sparkContext.broadcast((trie, whole, known, known_n))
-    model = id(shared)
+    model = uuid.uuid4().hex
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if model not in _scorers:
@@ -277,7 +285,7 @@ def score(docs: DataFrame, training: DataFrame, *, order: int = ORDER, nodes: in
         for batch in batches:
             data, offsets = flat(batch.column(1))
             values, n_tokens, n_known, base, rare, open_ = [], [], [], [], Absent(), Absent()
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, _STEP):
                 tokens = Tokens(data, offsets[i : j + 1], _WORDS)
                 value, open_row, open_key = own.texts(tokens)
                 values.append(value)
@@ -302,6 +310,7 @@ def score(docs: DataFrame, training: DataFrame, *, order: int = ORDER, nodes: in
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text").mapInArrow(scored, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double, rare array<long>, rare_n array<long>, open array<long>, open_n array<long>")
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "scores")
+    shared.destroy()  # all rows are scored by it
     pairs = lambda keys, times: rows.filter(F.size(keys) > 0).select("row", F.explode(F.arrays_zip(keys, times)).alias("r")).select("row", F.col(f"r.{keys}").alias("key"), F.col(f"r.{times}").alias("times"))
     found = pairs("rare", "rare_n").join(word.select("key", "n"), "key").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"))
     out = rows.drop("rare", "rare_n", "open", "open_n").join(found, "row", "left")

@@ -27,7 +27,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = lm_scoring.score(docs, docs.filter(remainder(7) != 2))
-    return found.withColumn("held_out", remainder(7) == 2)
+    return found.select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
