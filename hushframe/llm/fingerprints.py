@@ -1,9 +1,9 @@
 """Operator 5, document fingerprints: I-Match with randomised lexicons. DataFrame functions only.
 
 The lexicon is the terms within a band of inverse document frequency. Each of COMPONENTS random subsets of it gives one hash: of the
-distinct terms that the text has in common with the subset, as the sum of the terms' own hashes: the same for any order, like a hash
-of the sorted terms, but kept in one number for each text and component instead of a list that has to be sorted. Subsets differ in size, from the whole band to 1/64 of it, so
-that the share of equal hashes falls gradually with the share of changed terms. A subset that a text has no term of gives no hash.
+sorted distinct terms that the text has in common with the subset. Subsets differ in size, from the whole band to 1/64 of it, so
+that the share of equal hashes falls gradually with the share of changed terms. A subset that a text has no term of gives no hash. A
+text without any term of the lexicon is hashed in the same way over all its own terms.
 """
 
 from __future__ import annotations
@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.common import cut
 
-#: The band: terms in at least 1 of RAREST and at most 1 of COMMONEST documents (and in two at least).
-RAREST, COMMONEST = 2048, 8
+#: The band: terms in at least 1 of RAREST and at most 1 of COMMONEST documents (and in two at least). The upper bound is above the
+#: share of any one group of copies (a third), so that what such a group has in common stays in the lexicon.
+RAREST, COMMONEST = 2048, 2
 #: Subsets: one of the whole band, then 10 each of 1/4, 1/16 and 1/64 of it; hex digits of each one's hash.
 COMPONENTS = 31
-DIGITS = 8
+DIGITS = 16
 NONE = "-" * DIGITS
-#: Documents in a block; only a block's neighbours are ever put side by side.
-BLOCK = 512
+#: Documents in a block at least, and blocks at most: they bound the driver's share, and decide nothing but which task does what.
+BLOCK, BLOCKS = 512, 1 << 15
+#: Documents looked at for each block's bounds.
+LOOKED_AT = 8
 #: Most terms of a broadcast lexicon (some 40 MB); a larger one is joined by shuffle.
 BROADCAST_TERMS = 500_000
 SPACE = "[ \\t\\n\\x0b\\f\\r]+"
@@ -44,29 +47,30 @@ def subset_mask(term: Column) -> Column:
     return bits
 
 
-def lexicon(docs: DataFrame, text: str) -> DataFrame:
-    """(term, mask, hash) of the terms within the band, over all documents."""
-    n = docs.count()
+def lexicon(docs: DataFrame, text: str, n: int) -> DataFrame:
+    """(term, mask) of the terms within the band, over all n documents."""
     counts = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = (F.col("df") >= 2) & (F.col("df") * RAREST >= n) & (F.col("df") * COMMONEST <= n)
-    return counts.filter(band).select("term", subset_mask(F.col("term")).alias("mask"), term_hash(F.col("term")).alias("hash"))
-
+    return counts.filter(band).select("term", subset_mask(F.col("term")).alias("mask"))
 
-def term_hash(term: Column) -> Column:
-    """32 bits of the term's MD5, plus 1."""
-    return F.conv(F.substring(F.md5(term), 1, DIGITS), 16, 10).cast("long") + 1
 
+def fingerprint(found: Column, own: Column) -> Column:
+    """The components' hashes in a row: of found, an array of (term, mask) of the text's terms in the lexicon, or, if it is empty, of all
+    its terms; of a text without terms, x and the text's digest, so that only equal texts agree."""
+    every = F.transform(terms(own), lambda t: F.struct(t.alias("term"), subset_mask(t).alias("mask")))
+    members = F.array_sort(F.when(F.size(found) > 0, found).otherwise(every))
 
-def component(k: int) -> Column:
-    """The sum of the hashes of a text's terms (rows of term, mask, hash) in a component's lexicon."""
-    return F.sum(F.when(F.col("mask").bitwiseAND(F.lit(1 << k)) != 0, F.col("hash")).otherwise(F.lit(0))).alias(f"c{k}")
+    def one(members: Column) -> Column:
+        parts = []
+        for k in range(COMPONENTS):
+            bit = F.lit(1 << k)
+            inside = members if k == 0 else F.filter(members, lambda m: m["mask"].bitwiseAND(bit) != 0)
+            joined = F.array_join(F.transform(inside, lambda m: m["term"]), "\n")
+            parts.append(F.when(joined == "", NONE).otherwise(F.substring(F.md5(joined), 1, DIGITS)))
+        return F.concat(*parts)
 
-
-def fingerprint(digest: Column) -> Column:
-    """The components' sums (columns c0, c1, ...) modulo 2**32 in a row; of a text without a term of the lexicon, x and the text's
-    digest, so that only equal texts agree."""
-    one = lambda k: F.when(F.col(f"c{k}") == 0, NONE).otherwise(F.lower(F.lpad(F.hex(F.col(f"c{k}") % (1 << 32)), DIGITS, "0")))
-    return F.when(F.col("c0") > 0, F.concat(*[one(k) for k in range(COMPONENTS)])).otherwise(F.concat(F.lit("x"), digest))
+    # a lambda over an array of one, so that the members are put in order once and not in each component
+    return F.when(F.size(members) > 0, F.transform(F.array(members), one)[0]).otherwise(F.concat(F.lit("x"), F.md5(own)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -85,45 +89,53 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substr(text, F.lit(1), F.length(text) - half), F.substr(next_text, F.lit(1), half))
 
 
+def placed(docs: DataFrame, n: int) -> DataFrame:
+    """docs (id, text, digest) with block: a number that rises as rows come later in descending order of (id, digest), null ids last.
+
+    Bounds are quantiles of a sample, LOOKED_AT rows for each of BLOCKS blocks at most; rows find theirs by binary search.
+    """
+    key = F.struct(F.col("id").isNotNull().alias("has"), F.col("id"), F.col("digest"))
+    blocks = min(BLOCKS, max(1, n // BLOCK))
+    looked = docs.select(key.alias("key")).filter(F.pmod(F.xxhash64("key"), F.lit(max(1, n // (LOOKED_AT * blocks)))) == 0) if blocks > 1 else docs.limit(0).select(key.alias("key"))
+    dealt = looked.groupBy().agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    size, many = F.size("keys"), F.least(F.lit(blocks), F.size("keys"))
+    bounds = cut(dealt.select(F.when(many > 0, F.transform(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), lambda k: F.element_at("keys", (k * size / many).cast("int") + 1))).otherwise(F.slice("keys", 1, 0)).alias("bounds")), "bounds")
+    steps = F.array(*[F.lit(1 << k) for k in range(BLOCKS.bit_length(), -1, -1)])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= F.size("bounds")) & (F.try_element_at("bounds", at + step) <= key), at + step).otherwise(at))
+    return docs.crossJoin(F.broadcast(bounds)).withColumn("block", F.lit(blocks) - below).drop("bounds")  # bounds is one row
+
+
 def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for each row of docs.
 
-    Rows stand in descending order of id (null last; equal ids by text, descending), the last one followed by the first. A null text
-    is an empty one. Ids are cut into blocks of about BLOCK rows; a text is shuffled once, by block, and its terms are put together
-    again within the same tasks. Across blocks only the first row's text is passed on. A single row is its own next one.
+    Rows stand in descending order of id (null last; equal ids by the text's MD5, descending), the last one followed by the first. Ids
+    are of any type that has an order. A null text is an empty one. Rows are cut into blocks of neighbours by quantiles; a text is
+    shuffled once, by block, and its terms are put together again within the same tasks. The first row of each block also stands
+    behind the block before it. A single row is its own next one.
     """
-    spark = docs.sparkSession
-    kind = dict(docs.dtypes)[doc_id]
-    docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n, low, high = docs.agg(F.count("*"), F.min("id"), F.max("id")).first()
-    low, high = low or 0, high or 0
-    width = max(1, -(-(high - low + 1) * BLOCK // max(1, n)))
-    # blocks are numbered from the highest ids on; rows with a null id are a block behind all others
-    docs = docs.withColumn("block", F.coalesce(F.floor((F.lit(high) - F.col("id")) / width), F.lit((high - low) // width + 1)))
-    words = cut(lexicon(docs, "text").unionByName(spark.range(1).select(F.lit("").alias("term"), F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("hash"))), "lexicon")
+    docs = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("digest", F.md5("text"))
+    n = docs.count()
+    words = cut(lexicon(docs, "text", n), "lexicon")
     words = F.broadcast(words) if words.count() <= BROADCAST_TERMS else words
-    first = docs.groupBy("block").agg(F.max_by("text", F.struct("id", "text")).alias("first_text"))
-    # one row for each block, so 1/BLOCK of the documents; only its numbers go through one task
-    numbers = docs.select("block").distinct()
-    after = numbers.select("block", F.coalesce(F.lead("block").over(Window.orderBy("block")), F.min("block").over(Window.partitionBy())).alias("next_block"))
-    following = cut(after.join(first.withColumnRenamed("block", "next_block"), "next_block").select(F.col("block").alias("of"), "first_text"), "block-firsts")
-    order = Window.partitionBy("block").orderBy(F.desc_nulls_last("id"), F.desc("text"))
-    rows = docs.withColumn("place", F.row_number().over(order)).withColumn("inner_next", F.lead("text").over(order))
-    rows = rows.join(following, F.col("block") == F.col("of"), "left").withColumn("last", F.col("inner_next").isNull())
-    next_text = F.coalesce("inner_next", "first_text")
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("text").alias("own")),
-        F.struct(F.lit(1).alias("side"), edited(F.col("text"), next_text).alias("own")),
-        F.struct(F.lit(2).alias("side"), F.when(F.col("last"), next_text).alias("own")),
-    )
-    sided = rows.select("block", "place", "id", F.explode(sides).alias("s")).select("block", "place", "id", "s.side", "s.own").filter("own is not null")
-    digests = {"digest": F.md5("own"), "sha": F.when(F.col("side") == 1, F.sha2("own", 256)), "chars": F.length("own").cast("long")}
-    keys = ["block", "place", "id", "side", *digests]
-    # the empty term stands for the text itself, so that one without terms of the lexicon keeps its row
-    each = sided.withColumns(digests).select(*keys, F.explode(F.array_append(terms(F.col("own")), F.lit(""))).alias("term")).join(words, "term")
-    printed = each.groupBy(*keys).agg(*map(component, range(COMPONENTS))).withColumn("print", fingerprint(F.col("digest")))
+    rows = placed(docs, n)
+    heads = rows.groupBy("block").agg(F.max_by(F.struct("id", "text", "digest"), F.struct(F.col("id").isNotNull(), "id", "digest")).alias("head"))
+    heads = cut(heads, "block-heads")
+    # at most BLOCKS + 1 numbers
+    before = heads.select("block", F.coalesce(F.lag("block").over(Window.orderBy("block")), F.max("block").over(Window.partitionBy())).alias("of"))
+    behind = heads.join(F.broadcast(before), "block").select("head.id", "head.text", "head.digest", F.col("of").alias("block"), F.lit(True).alias("behind"))
+    every = rows.select("id", "text", "digest", "block", F.lit(False).alias("behind")).union(behind)
+    order = Window.partitionBy("block").orderBy("behind", F.desc_nulls_last("id"), F.desc("digest"))
+    every = every.withColumns({"place": F.row_number().over(order), "next_text": F.lead("text").over(order)})
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("own")), F.struct(F.lit(1).alias("side"), F.when(~F.col("behind"), edited(F.col("text"), F.col("next_text"))).alias("own")))
+    sided = every.select("block", "place", "behind", "id", F.explode(sides).alias("s")).select("block", "place", "behind", "id", "s.side", "s.own").filter("own is not null")
+    # an empty term stands for the text itself, so that one without terms of the lexicon keeps its row, and carries it
+    each = sided.select("block", "place", "side", "behind", "id", F.explode(F.array_append(F.transform(terms(F.col("own")), lambda t: F.struct(t.alias("term"), F.lit(None).cast("string").alias("own"))), F.struct(F.lit("").alias("term"), F.col("own").alias("own")))).alias("t"))
+    each = each.select("block", "place", "side", "behind", "id", "t.term", "t.own").join(words, "term", "left").filter("mask is not null or term = ''")
+    found = F.collect_list(F.when(F.col("mask").isNotNull(), F.struct("term", "mask"))).alias("found")
+    printed = each.groupBy("block", "place", "side").agg(found, F.max("own").alias("own"), F.first("behind").alias("behind"), F.first("id").alias("id")).withColumn("print", fingerprint(F.col("found"), F.col("own")))
+    printed = printed.select("block", "place", "behind", "id", "side", "print", F.when(F.col("side") == 1, F.sha2("own", 256)).alias("sha"), F.length("own").cast("long").alias("chars"))
     of = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
-    wide = printed.groupBy("block", "place", "id").agg(of("chars", 0).alias("n_chars"), of("sha", 1).alias("edited_sha256"), of("print", 0).alias("fingerprint"), of("print", 1).alias("edited_fingerprint"), of("print", 2).alias("after"))
-    wide = wide.withColumn("after", F.coalesce("after", F.lead("fingerprint").over(Window.partitionBy("block").orderBy("place"))))
+    wide = printed.groupBy("block", "place").agg(F.first("id").alias("id"), F.first("behind").alias("behind"), of("chars", 0).alias("n_chars"), of("sha", 1).alias("edited_sha256"), of("print", 0).alias("fingerprint"), of("print", 1).alias("edited_fingerprint"))
+    wide = wide.withColumn("after", F.lead("fingerprint").over(Window.partitionBy("block").orderBy("place"))).filter("not behind")
     near = {"near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("after"))}
-    return wide.withColumns(near).select(F.col("id").cast(kind).alias(doc_id), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)
+    return wide.withColumns(near).select(F.col("id").alias(doc_id), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near)

@@ -63,24 +63,24 @@ def fingerprint_sql() -> str:
         scale, at = (k - 1) // 10, k if k <= 20 else 2 * k - 21
         inside.append(f"substr(d, {at}, 1) < '4'" if scale == 0 else f"substr(d, {at}, 1) = '0'" if scale == 1 else f"substr(d, {at}, 1) = '0' AND substr(d, {at + 1}, 1) < '4'")
     members = ["true", *inside]
-    parts = " || ".join(f"CASE WHEN count(*) FILTER (WHERE m{k}) = 0 THEN '{f.NONE}' ELSE printf('%0{f.DIGITS}x', cast(coalesce(sum(h) FILTER (WHERE m{k}), 0) % 4294967296 AS BIGINT)) END" for k in range(f.COMPONENTS))
+    parts = " || ".join(f"CASE WHEN count(*) FILTER (WHERE m{k}) = 0 THEN '{f.NONE}' ELSE substr(md5(string_agg(term, chr(10) ORDER BY term) FILTER (WHERE m{k})), 1, {f.DIGITS}) END" for k in range(f.COMPONENTS))
     terms = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\x0b\\f\\r]+'), lambda t: t <> ''))"
     like = """CASE WHEN {0} = {1} THEN 1.0 WHEN starts_with({0}, 'x') OR starts_with({1}, 'x') THEN 0.0 ELSE
       len(list_filter(range({n}), lambda k: substr({0}, k * {d} + 1, {d}) = substr({1}, k * {d} + 1, {d}) AND substr({0}, k * {d} + 1, {d}) <> '{none}')) / cast(greatest(1,
       len(list_filter(range({n}), lambda k: substr({0}, k * {d} + 1, {d}) <> '{none}' OR substr({1}, k * {d} + 1, {d}) <> '{none}'))) AS DOUBLE) END"""
     near = lambda a, b: like.format(a, b, n=f.COMPONENTS, d=f.DIGITS, none=f.NONE)
     return f"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, text DESC) AS place FROM documents),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER (ORDER BY doc_id DESC NULLS LAST, md5(coalesce(text, '')) DESC) AS place FROM documents),
 n AS (SELECT count(*) AS n FROM d),
 follow AS (SELECT d.*, e.text AS next_text, e.place AS next_place FROM d, n, d e WHERE e.place = CASE WHEN d.place = n.n THEN 1 ELSE d.place + 1 END),
 texts AS (
   SELECT place, 0 AS side, text AS own FROM follow UNION ALL
   SELECT place, 1, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) FROM follow),
 words AS (SELECT place, side, unnest({terms.format('own')}) AS term FROM texts),
-band AS (
-  SELECT term, cast('0x' || substr(md5(term), 1, {f.DIGITS}) AS BIGINT) + 1 AS h, {", ".join(f"({m}) AS m{k}" for k, m in enumerate(members))}
-  FROM (SELECT term, sha256(term) AS d, count(*) AS df FROM words WHERE side = 0 GROUP BY term), n WHERE df >= 2 AND df * {f.RAREST} >= n.n AND df * {f.COMMONEST} <= n.n),
-made AS (SELECT place, side, {parts} AS print FROM words JOIN band USING (term) GROUP BY place, side),
+known AS (SELECT term, {", ".join(f"({m}) AS m{k}" for k, m in enumerate(members))}, df >= 2 AND df * {f.RAREST} >= n.n AND df * {f.COMMONEST} <= n.n AS band
+  FROM (SELECT term, sha256(term) AS d, count(*) FILTER (WHERE side = 0) AS df FROM words GROUP BY term), n),
+own AS (SELECT *, bool_or(band) OVER (PARTITION BY place, side) AS has FROM words JOIN known USING (term)),
+made AS (SELECT place, side, {parts} AS print FROM own WHERE band OR NOT has GROUP BY place, side),
 prints AS (SELECT t.place, t.side, t.own, coalesce(print, 'x' || md5(own)) AS print FROM texts t LEFT JOIN made USING (place, side)),
 joined AS (
   SELECT f.doc_id, length(f.text) AS n_chars, sha256(e.own) AS edited_sha256, a.print AS fingerprint, e.print AS edited_fingerprint, b.print AS after

@@ -109,3 +109,52 @@ def test_fingerprints_of_repeated_and_null_ids(spark, make):
     got = fingerprints.fingerprint_edits(make(spark, ["a b", "a b", None, "c d"], [5, 5, None, None])).collect()
     assert sorted(r["doc_id"] or 0 for r in got) == [0, 0, 5, 5]
     assert fingerprints.fingerprint_edits(make(spark, ["only one"], [3])).first()["near_next"] == 1.0
+
+
+def plain_fingerprint(text, df, n):
+    """By definition: sorted terms of the lexicon (else all), in each component's subset."""
+    import hashlib
+    import re
+
+    terms = sorted({t for t in re.split("[ \\t\\n\\x0b\\f\\r]+", text.lower()) if t}, key=str.encode)
+    inside = [t for t in terms if df.get(t, 0) >= 2 and df[t] * fingerprints.RAREST >= n and df[t] * fingerprints.COMMONEST <= n] or terms
+    if not inside:
+        return "x" + hashlib.md5(text.encode()).hexdigest()
+    out = []
+    for k in range(fingerprints.COMPONENTS):
+        at, own = (k if k <= 20 else 2 * k - 21) - 1, []
+        for t in inside:
+            d = hashlib.sha256(t.encode()).hexdigest()
+            if k == 0 or (k <= 10 and d[at] < "4") or (10 < k <= 20 and d[at] == "0") or (k > 20 and d[at] == "0" and d[at + 1] < "4"):
+                own.append(t)
+        out.append(hashlib.md5("\n".join(own).encode()).hexdigest()[:16] if own else fingerprints.NONE)
+    return "".join(out)
+
+
+@pytest.mark.parametrize("ids", [None, [-(2**62), 2**62 + 5, 2**63 - 1], "strings"])
+def test_fingerprints_in_blocks(spark, monkeypatch, ids):
+    """Several blocks of neighbours, wide ids, a hot null id, and ids of another type."""
+    import hashlib
+    import random
+
+    monkeypatch.setattr(fingerprints, "BLOCK", 3)
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices("alpha beta gamma delta Eps zeta eta theta iota kappa".split(), k=rng.randint(0, 9))) for _ in range(60)]
+    own = ids if isinstance(ids, list) else [f"d{k:03}" for k in range(60)] if ids else [*range(40), *[None] * 20]
+    texts = texts[: len(own)]
+    rows = list(zip(own, texts))
+    got = fingerprints.fingerprint_edits(spark.createDataFrame(rows, f"doc_id {'string' if ids == 'strings' else 'long'}, text string")).collect()
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    order = sorted(rows, key=lambda r: md5(r[1]), reverse=True)
+    order = sorted([r for r in order if r[0] is not None], key=lambda r: r[0], reverse=True) + [r for r in order if r[0] is None]
+    df = {}
+    for t in texts:
+        for w in set(t.lower().split()):
+            df[w] = df.get(w, 0) + 1
+    want = []
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        changed = t[: len(t) - half] + after[:half]
+        want.append((str(i), hashlib.sha256(changed.encode()).hexdigest(), plain_fingerprint(t, df, len(texts)), plain_fingerprint(changed, df, len(texts))))
+    assert sorted(want) == sorted((str(r["doc_id"]), r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in got)
