@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hushframe.operators import audio, cross_modal, evaluation, gate, geometry, identity, intervals, manifests, raster, regions, text_pii
+from hushframe.plans import sequential_sql as sequential
 from hushframe.sources.tables import table, view, with_views
 from hushframe.streaming import twins
 
@@ -182,11 +183,11 @@ def region_ttl_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.active(view(spark, sf_dir, "v_frames"), live, "stream", bucket=24 * HOUR)
 
 
-@query("region_tracks")
+@query("region_tracks", sequential.TRACKS)
 def region_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = view(spark, sf_dir, "v_regions")
+    rows = view(spark, sf_dir, "v_regions").filter("ordinal = line")  # a stream has one region a frame, which the other engine can follow
     item = F.struct("kind", "x", "y", "w", "h", F.lit("").alias("track"))
-    frames = rows.groupBy((F.col("supp") % 50).alias("stream"), F.col("frame").alias("seq")).agg(F.sort_array(F.collect_list(item)).alias("regions"))
+    frames = rows.select(((F.col("supp") % 50) * 10 + F.col("line")).alias("stream"), F.col("frame").alias("seq"), F.array(item).alias("regions"))
     frames = frames.withColumns({"ts_ms": F.col("seq"), "detector": F.lit("plate"), "status": F.when(F.col("seq") % 7 == 0, "timeout").otherwise("success"), "ttl_ms": F.lit(2000)})
     return regions.track(frames)
 
@@ -318,7 +319,7 @@ def energy_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.energy_frames(_samples(spark, sf_dir), "stream", frame=2, threshold=0.6)
 
 
-@query("speech_segments")
+@query("speech_segments", sequential.SEGMENTS)
 def speech_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col
     voiced = c("event_id") % 7 < 3
@@ -352,7 +353,7 @@ def spoken_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token.groupBy("doc_id").agg(F.count_if(F.col("t") != "").alias("tokens"), F.count_if(F.col("plain").isin(*known)).alias("replaced"), F.when(F.count_if(F.length("plain").between(1, 3)) > 0, short).alias("short_md5"))
 
 
-@query("spoken_pii_intervals")
+@query("spoken_pii_intervals", sequential.spoken_pii(_SPANS.replace("FROM documents", "FROM spoken")))
 def spoken_pii_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.spoken_pii(_words(spark, sf_dir), "doc_id")
 
@@ -419,11 +420,12 @@ def late_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_modal.late(updates).select("stream", "ord", "start_ms", "end_ms", "previous", "late")
 
 
-@query("cross_modal_buffered")
+@query("cross_modal_buffered", sequential.BUFFERED)
 def cross_modal_buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = view(spark, sf_dir, "v_frames").selectExpr("stream", "ts_ms * 2 AS ord", "'frame' AS kind", "seq", "ts_ms", "cast(null AS bigint) AS start_ms", "cast(null AS bigint) AS end_ms", "cast(null AS double) AS confidence", "cast(null AS bigint) AS watermark_ms")
-    sound = view(spark, sf_dir, "v_intervals").selectExpr("stream", "end_ms * 2 + 1 AS ord", "'audio' AS kind", "cast(null AS bigint) AS seq", "cast(null AS bigint) AS ts_ms", "start_ms", "end_ms", "confidence", "end_ms AS watermark_ms")
-    return cross_modal.synchronise(frames.unionByName(sound), most=5, most_ms=48 * HOUR, **_SPAN)
+    frames = view(spark, sf_dir, "v_frames").selectExpr("event_id", "stream", "ts_ms * 2 AS due", "'frame' AS kind", "seq", "ts_ms", "cast(null AS bigint) AS start_ms", "cast(null AS bigint) AS end_ms", "cast(null AS double) AS confidence", "cast(null AS bigint) AS watermark_ms")
+    sound = view(spark, sf_dir, "v_intervals").selectExpr("event_id", "stream", "end_ms * 2 + 1 AS due", "'audio' AS kind", "cast(null AS bigint) AS seq", "cast(null AS bigint) AS ts_ms", "start_ms", "end_ms", "confidence", "end_ms AS watermark_ms")
+    total = Window.partitionBy("stream").orderBy("due", "kind", "event_id")
+    return cross_modal.synchronise(frames.unionByName(sound).withColumn("ord", F.row_number().over(total)), most=5, most_ms=48 * HOUR, **_SPAN)
 
 
 # --- the gate
@@ -509,26 +511,28 @@ def _boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return truth, found
 
 
-@query("bench_match")
+@query("bench_match", sequential.MATCH)
 def bench_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.match(*_boxes(spark, sf_dir))
 
 
-@query("bench_pr")
+@query("bench_pr", sequential.PR)
 def bench_pr(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, found = _boxes(spark, sf_dir)
     return evaluation.precision_recall(evaluation.match(truth, found), truth)
 
 
-@query("bench_ap")
+@query("bench_ap", sequential.AP)
 def bench_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth, found = _boxes(spark, sf_dir)
-    return evaluation.average_precision(evaluation.match(truth, found, thresholds=evaluation.THRESHOLDS), truth)
+    return evaluation.average_precision(evaluation.match(truth, found, thresholds=evaluation.THRESHOLDS), truth).withColumn("ap", F.round("ap", 9))
 
 
-@query("bench_map")
+@query("bench_map", sequential.MAP)
 def bench_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.mean_average_precision(bench_ap(spark, sf_dir))
+    truth, found = _boxes(spark, sf_dir)
+    ap = evaluation.average_precision(evaluation.match(truth, found, thresholds=evaluation.THRESHOLDS), truth)
+    return evaluation.mean_average_precision(ap).select(F.round("map50", 9).alias("map50"), F.round("map", 9).alias("map"))
 
 
 # --- raster, manifests
@@ -546,7 +550,7 @@ def _raster(spark: SparkSession, sf_dir: str, style: str) -> DataFrame:
 
 
 for _style in ("cover", "pixelate", "blur"):
-    query(f"raster_{_style}")(lambda spark, sf_dir, style=_style: _raster(spark, sf_dir, style))
+    query(f"raster_{_style}", sequential.raster(_style))(lambda spark, sf_dir, style=_style: _raster(spark, sf_dir, style))
 
 
 @query("manifest_rules", """SELECT p_partkey AS id, CASE WHEN p_partkey % 13 = 0 THEN 'model_id' WHEN p_partkey % 11 = 0 THEN 'version' WHEN p_partkey % 7 = 0 THEN 'sha256' WHEN p_partkey % 5 = 0 THEN 'archive_suffix' END AS violation FROM part""")
