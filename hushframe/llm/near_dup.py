@@ -5,9 +5,9 @@
 2. Bands of the signature make buckets. In each bucket every text is paired with two of its texts, the hubs (the smallest and the
    largest number), which is linear in the bucket's size. Pairs are verified on the whole texts; those that pass are links.
 3. Connected components of the links. Buckets whose texts are now one component need no more work. In every other bucket the texts
-   outside its largest component are compared with all its texts, in blocks of bounded size: pairs of different components whose
-   signatures agree in enough components are verified too: first likely links, and after joining what they link, all that may be one.
-   So no link between texts that share a bucket is lost to the choice in step 2, and no bucket is capped.
+   outside its largest component are compared with all its texts, in blocks of bounded size, by their signatures. First each such text's
+   likeliest link is verified, which joins nearly all that belongs together; then all pairs of texts of still different components
+   that may be links are. So no link between texts that share a bucket is lost to the choice in step 2, and no bucket is capped.
 4. A class is a component; it is named by its smallest document id.
 
 Hot buckets, hubs, classes and texts (as large as any share of the rows) meet broadcasts of a bounded number of hot keys, or are dealt
@@ -92,15 +92,14 @@ def sign(texts: DataFrame, words: int, bands: int, rows: int, size: int) -> Data
     return texts.select("h1", "h2", "text").mapInArrow(signed, "h1 long, h2 long, text string, bands array<long>, sketch binary")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, words: int, least: float) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """Of pairs (a, b) of nodes (a written table) those whose shingle multisets overlap by `least` of their union or more; exact, whole
     texts. b is a hub: its pairs stand behind one row with its text, in as many tasks as they need."""
     sizes = cut(pairs.groupBy("b").agg(F.count("*").alias("n")), "hub-sizes")
     dealt = cut(salted(pairs, "b", sizes, F.col("a")).select("a", "b", "salt"), "pairs")
-    text = lambda c: nodes.select(F.col("node").alias(c), "text")
-    members = dealt.join(text("a"), "a").select("b", "salt", "a", "text")
-    hubs = dealt.select("b", "salt").distinct().join(text("b"), "b").select("b", "salt", F.lit(-1).cast("long").alias("a"), "text")
-    rows = members.union(hubs).repartition("b", "salt").sortWithinPartitions("b", "salt", "a")
+    asked = dealt.select("b", "salt", "a", F.col("a").alias("node")).union(dealt.select("b", "salt").distinct().select("b", "salt", F.lit(-1).cast("long"), "b"))
+    # one shuffle of the texts, at every size
+    rows = asked.hint("merge").join(texts.select("node", "text"), "node").select("b", "salt", "a", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", "a")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_weight = np.zeros(0, U64), np.zeros(0, np.int64)
@@ -183,40 +182,44 @@ def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return found
 
 
-def compare_outside(rows: DataFrame, sketches: DataFrame, size: int, low: float, high: float) -> DataFrame:
-    """Distinct (a, b): pairs of step 3 with an estimate of low or more and below high, of open_rows and the nodes' sketches."""
+def compare_outside(rows: DataFrame, sketches: DataFrame, size: int, least: float, likeliest: bool) -> DataFrame:
+    """(a, b): pairs of step 3 with an estimate of `least` or more, of open_rows and the texts' sketches; b is a text outside its bucket's
+    largest component. With likeliest, only the best one of each b."""
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    rows = rows.join(sketches, "node")
+    rows = rows.hint("merge").join(sketches, "node")
     columns = ("out", "node", "label", "sketch")
     against = rows.select("bucket", own("n").alias("k"), all_("outside").alias("q"), F.lit(False).alias("asks"), *columns)
     asking = rows.filter("out").select("bucket", all_("n").alias("k"), own("outside").alias("q"), F.lit(True).alias("asks"), *columns)
     dealt = against.union(asking)
     dealt = dealt.repartition("bucket", "k", "q").sortWithinPartitions("bucket", "k", "q")
 
-    def pairs(group: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    def pairs(group: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         table = pa.Table.from_batches(group)
         asks, out, node, label = (table[c].to_numpy() for c in ("asks", "out", "node", "label"))
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), size)
-        a, b = [], []
         rest = np.flatnonzero(~asks)
         for q in np.flatnonzero(asks):
-            others = rest[(label[rest] != label[q]) & (~out[rest] | (node[q] < node[rest]))]
+            # two texts outside the largest component ask once, unless each looks for its likeliest link
+            others = rest[(label[rest] != label[q]) & (~out[rest] | (node[q] < node[rest]) | likeliest)]
             agree = (sketch[others] == sketch[q]).mean(axis=1)
             estimate = (agree - 1 / 256) / (1 - 1 / 256)
-            hit = others[(estimate >= low) & (estimate < high)]
-            a.append(node[hit])
-            b.append(np.full(len(hit), node[q]))
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+            hit = np.flatnonzero(estimate >= least)
+            if likeliest and len(hit):
+                hit = hit[[np.argmax(estimate[hit])]]
+            yield node[others[hit]], np.full(len(hit), node[q]), estimate[hit]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
-            a, b = pairs(group)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            found = [np.concatenate(x) for x in zip(*pairs(group))]
+            if found and len(found[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["a", "b", "estimate"])
 
-    return dealt.mapInArrow(compared, "a long, b long").distinct()
+    found = dealt.mapInArrow(compared, "a long, b long, estimate double")
+    if likeliest:
+        return found.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
+    return found.select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
@@ -241,17 +244,21 @@ def hashed_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     shared = cut(join_hot(banded, ends, "bucket"), "shared")
     hub = F.explode(F.array_distinct(F.array("first", "last")))
     star = cut(shared.select(F.col("node").alias("a"), hub.alias("b")).filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").groupBy("x", "y").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("a", "b"), "star")
-    links = verified(star, nodes, words, least)
+    # what step 2 and 3 look at: the texts that share a bucket
+    candidates = shared.select("node").distinct()
+    texts = cut(nodes.select("node", "text", "sketch").hint("merge").join(candidates, "node", "left_semi"), "candidates")
+    links = verified(star, texts, words, least)
     labels = components(links)
     discard(star, links)
     bar = least - DEVIATIONS * float(np.sqrt(least * (1 - least) / size))
-    for low, high in ((least, 2.0), (bar, least)):
+    for low, likeliest in ((least, True), (bar, False)):
         open_ = open_rows(shared, labels)
-        likely = cut(compare_outside(open_, nodes.select("node", "sketch"), size, low, high), "outside")
-        more = verified(likely, nodes, words, least)
+        likely = cut(compare_outside(open_, texts.select("node", "sketch"), size, low, likeliest), "outside")
+        more = verified(likely, texts, words, least)
         if not more.isEmpty():
             labels = relabelled(labels, more)
         discard(open_, likely, more)
+    discard(texts)
     # one row for each text, with its class; then the classes' rows
     named = cut(docs.select("doc_id", "h1", "h2", F.monotonically_increasing_id().alias("row")), "rows")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
