@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.folds import ordered_fold
 from hushframe.operators import text_pii
-from hushframe.operators.intervals import overlap_join
+from hushframe.operators.intervals import merge, overlap_join
 
 # fixed values: spoken digits and symbols
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
@@ -77,10 +77,18 @@ def timeline(chunk_rows: DataFrame, *, tolerance_ms: int = 1) -> DataFrame:
 
 
 def ring(chunk_rows: DataFrame, *, ring_ms: int = 1000) -> DataFrame:
-    """chunks (stream, start_ms, end_ms) with ring_size: how many of the latest span ring_ms at most, one at least."""
-    own = Window.partitionBy("stream").orderBy("end_ms").rangeBetween(-ring_ms, 0)
-    starts = F.collect_list("start_ms").over(own)
-    return chunk_rows.withColumn("ring_size", F.greatest(F.lit(1), F.size(F.filter(starts, lambda s: F.col("end_ms") - s <= ring_ms))))
+    """chunks (stream, start_ms, end_ms) with ring_size: how many of the latest span ring_ms at most, one at least.
+
+    Of the chunks that end no later, those that start ring_ms or less before its end. On a source timeline starts rise with ends, so that
+    is a running count of ends without one of the starts that are too early.
+    """
+    ends = chunk_rows.select("*", F.col("end_ms").alias("__at"), F.lit(1).alias("__end"))
+    starts = chunk_rows.select("stream", F.col("start_ms").alias("__at"), F.lit(0).alias("__end"))
+    both = Window.partitionBy("stream").orderBy("__at")
+    ended = F.sum("__end").over(both.rangeBetween(Window.unboundedPreceding, 0))
+    early = F.coalesce(F.sum(1 - F.col("__end")).over(both.rangeBetween(Window.unboundedPreceding, -ring_ms - 1)), F.lit(0))
+    counted = ends.unionByName(starts, allowMissingColumns=True).withColumn("ring_size", F.greatest(F.lit(1), ended - early).cast("int"))
+    return counted.filter("__end = 1").drop("__at", "__end")
 
 
 def release(chunk_rows: DataFrame) -> DataFrame:
@@ -145,16 +153,21 @@ def speech_segments(frames: DataFrame, *, pre_ms: int = 150, post_ms: int = 250,
     return ordered_fold(frames, ["stream"], ["seq"], start, step, "stream long, segment long, start_ms long, end_ms long", lambda state, key: emit(state, key[0]))
 
 
-def mute(samples: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
+def mute(samples: DataFrame, intervals: DataFrame, key: str, *, bucket: int = 1000) -> DataFrame:
     """samples (key, pos, rate, value) with muted: whether the sample's time, pos/rate to (pos + 1)/rate s, overlaps an interval
-    (start_ms, end_ms) at all; muted samples are 0. Intervals of one key are merged first, so a sample meets one at most."""
+    (start_ms, end_ms) at all; muted samples are 0. Intervals of one key are merged first, so they don't overlap, and each sample
+    meets only those of its own time bucket: an equi-join."""
     order = Window.partitionBy(key).orderBy("start_ms", "end_ms")
     before = F.max("end_ms").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum(F.when(before.isNull() | (F.col("start_ms") > before), 1).otherwise(0)).over(order)
-    spans = intervals.withColumn("__new", before).withColumn("__i", island).groupBy(key, "__i").agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("b"))
-    held = spans.groupBy(key).agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
-    inside = F.exists("__spans", lambda s: ((F.col("pos") + 1) * 1000 > s["a"] * F.col("rate")) & (F.col("pos") * 1000 < s["b"] * F.col("rate")))
-    found = samples.join(held, key, "left").withColumn("muted", F.coalesce(inside, F.lit(False))).drop("__spans")
+    marked = intervals.withColumn("__new", F.when(before.isNull() | (F.col("start_ms") > before), 1).otherwise(0))
+    spans = marked.withColumn("__i", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(key, "__i").agg(F.min("start_ms").alias("__a"), F.max("end_ms").alias("__b")).filter("__b > __a")
+    touched = spans.select(key, "__a", "__b", F.explode(F.sequence(F.floor(F.col("__a") / bucket), F.floor(F.col("__b") / bucket))).alias("__bucket"))
+    first, last = (F.floor((F.col("pos") + k) * 1000 / F.col("rate") / bucket) for k in (0, 1))
+    # a sample that lies across a bucket's end asks in all its buckets
+    asked = samples.select("*", F.explode(F.sequence(first, last)).alias("__bucket"))
+    held = touched.groupBy(key, "__bucket").agg(F.collect_list(F.struct("__a", "__b")).alias("__spans"))  # at most bucket / 2 + 1
+    met = asked.join(held, [key, "__bucket"], "left").withColumn("__hit", F.coalesce(F.exists("__spans", lambda s: ((F.col("pos") + 1) * 1000 > s["__a"] * F.col("rate")) & (F.col("pos") * 1000 < s["__b"] * F.col("rate"))), F.lit(False)))
+    found = met.drop("__spans", "__bucket").groupBy(*samples.columns).agg(F.bool_or("__hit").alias("muted"))
     return found.withColumn("value", F.when(F.col("muted"), 0.0).otherwise(F.col("value")))
 
 
@@ -232,3 +245,86 @@ def classified_segments(segments: DataFrame, words: DataFrame, key: str, *, buck
     found = overlap_join(segments, words.select(key, "from_ms", "to_ms"), key, bucket=bucket, left_span=("start_ms", "end_ms"), right_span=("from_ms", "to_ms"), keep=[key, "segment"])
     counted = found.groupBy(key, "segment", "start_ms", "end_ms").agg(F.count("from_ms").alias("n_words"))
     return counted.withColumn("status", F.when(F.col("n_words") > 0, "ok").otherwise("unsafe_unclassified"))
+
+
+def one_chunk(segments: DataFrame, key: str) -> DataFrame:
+    """(key, seq, start_ms, samples): each segment with samples as one chunk, number 0."""
+    return segments.filter(F.size("samples") > 0).select(key, F.lit(0).cast("long").alias("seq"), "start_ms", "samples")
+
+
+def segmenter_input(chunk_rows: DataFrame) -> DataFrame:
+    """chunks (stream, seq, place, start_ms, rate, frames, channels, form) in order of place with problem, the first that applies, or null:
+    not mono_float32, a number that doesn't rise, or a start before the end of the chunk before it."""
+    order = Window.partitionBy("stream").orderBy("place")
+    before = lambda c: F.lag(c).over(order)
+    overlap = (F.col("start_ms") - before("start_ms")) * before("rate") < before("frames") * 1000
+    problem = F.when((F.col("channels") != 1) | (F.col("form") != "float32"), "not_mono_float32").when(F.col("seq") <= before("seq"), "sequence").when(overlap, "overlap")
+    return chunk_rows.withColumn("problem", problem)
+
+
+def join_chunks(chunk_rows: DataFrame) -> DataFrame:
+    """(stream, start_ms, end_ms, rate, samples, status): chunks (seq, start_ms, rate, channels, form, samples) as one segment for analysis;
+    format_mismatch and no samples if they differ in format."""
+    form = F.struct("rate", "channels", "form")
+    item = F.struct("seq", "start_ms", "rate", "samples")
+    grouped = chunk_rows.groupBy("stream").agg(F.countDistinct(form).alias("forms"), F.sort_array(F.collect_list(item)).alias("items"))
+    first, last = F.get("items", F.lit(0)), F.element_at("items", -1)
+    end = F.bround(last["start_ms"] + F.size(last["samples"]) * F.lit(1000.0) / last["rate"]).cast("long")
+    same = F.col("forms") == 1
+    return grouped.select("stream", first["start_ms"].alias("start_ms"), end.alias("end_ms"), F.when(same, first["rate"]).alias("rate"), F.when(same, F.flatten(F.transform("items", lambda x: x["samples"]))).alias("samples"), F.when(same, "ok").otherwise("format_mismatch").alias("status"))
+
+
+def silence(samples: Column) -> Column:
+    """As many zeros as there are samples."""
+    return F.transform(samples, lambda x: F.lit(0.0))
+
+
+def silence_bytes(data: Column) -> Column:
+    """As many zero bytes."""
+    return F.unhex(F.repeat(F.lit("00"), F.octet_length(data)))
+
+
+def transcript_text(words: DataFrame, key: str) -> DataFrame:
+    """(key, text): the words (pos, word) of each transcript, trimmed and joined by single spaces."""
+    return words.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.trim("word").alias("word")))), lambda w: w["word"]), " ").alias("text"))
+
+
+def model_windows(found: DataFrame, key: str, *, most_ms: int = 15_000) -> DataFrame:
+    """(key, start_ms, end_ms, status): what a voice model found (segment_ms, segment_end_ms, rate, from_sample, to_sample) on the source
+    timeline, rounded half to even and cut at most_ms. Such models take 8 and 16 kHz only: other rates give one row rate."""
+    place = lambda c: F.col("segment_ms") + F.bround(F.col(c) * 1000.0 / F.col("rate")).cast("long")
+    ok = F.col("rate").isin(8000, 16_000)
+    own = found.withColumns({"a": place("from_sample"), "b": F.least(F.col("segment_end_ms"), place("to_sample"))})
+    each = own.filter(ok & (F.col("b") > F.col("a"))).select(key, "b", F.explode(F.sequence("a", F.col("b") - 1, F.lit(most_ms).cast("long"))).alias("start_ms"))
+    wrong = own.filter(~ok).select(key, F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), F.lit("rate").alias("status")).distinct()
+    return each.select(key, "start_ms", F.least(F.col("start_ms") + most_ms, "b").alias("end_ms"), F.lit("ok").alias("status")).union(wrong)
+
+
+def detect_spoken(segments: DataFrame, voice: DataFrame, words: DataFrame, key: str, *, padding: int = 250, gap: int = 100, most_ms: int = 120_000, config: text_pii.Config = text_pii.Config()) -> tuple[DataFrame, DataFrame]:
+    """Voice, words, personal data and interval policy in a row: (key, status) of segments (start_ms, end_ms, n_samples), and the intervals.
+
+    Status: no_samples, too_long, no_voice (its words aren't looked at) or ok. Intervals are padded, clamped to their segment, merged.
+    """
+    voiced = voice.select(key).distinct().withColumn("__voiced", F.lit(True))
+    status = F.when(F.col("n_samples") == 0, "no_samples").when(F.col("end_ms") - F.col("start_ms") > most_ms, "too_long").when(F.col("__voiced").isNull(), "no_voice").otherwise("ok")
+    known = segments.join(voiced, key, "left").withColumn("status", status)
+    ok = known.filter("status = 'ok'").select(key, F.col("start_ms").alias("segment_ms"), F.col("end_ms").alias("segment_end_ms"))
+    found = spoken_pii(words.join(ok.select(key), key, "left_semi"), key, config).join(ok, key)
+    rows = found.withColumns({"detector": F.lit("spoken"), "event_id": F.lit(0).cast("long")})
+    merged = merge(rows, key, padding=padding, gap=gap, begin=F.col("segment_ms"), finish=F.col("segment_end_ms"))
+    return known.select(key, "status"), merged
+
+
+def outcome(calls: DataFrame) -> DataFrame:
+    """calls with status, the first that applies, and safe: whether what came out may be released.
+
+    calls: chunks (number), timeline (of timeline()), input_problem, vad (ok or failed), segments, duration_ms, deadline_met, unclassified,
+    transcription (ok or failed), muted (ok or failed).
+    """
+    c = F.col
+    status = (
+        F.when(c("chunks") == 0, "no_speech").when(c("timeline") != "ok", "unsafe_timestamp_discontinuity").when(c("input_problem").isNotNull(), "unsafe_input").when(c("vad") != "ok", "unsafe_vad_failure")
+        .when(c("segments") == 0, "no_speech").when((c("segments") > 4) | (c("duration_ms") > 30_000), "unsafe_queue_overflow").when(~c("deadline_met"), "unsafe_deadline").when(c("unclassified"), "unsafe_unclassified")
+        .when(c("transcription") != "ok", "unsafe_transcription_failure").when(c("muted") != "ok", "unsafe_input").otherwise("ok")
+    )
+    return calls.withColumn("status", status).withColumn("safe", F.col("status").isin("ok", "no_speech") & (c("chunks") > 0))

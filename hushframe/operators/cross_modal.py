@@ -129,3 +129,32 @@ def synchronise(events: DataFrame, *, frame_ms: int = 33, pre_ms: int = 50, post
         return [(row.stream, *x) for x in found]
 
     return ordered_fold(events, ["stream"], ["ord"], start, step, "stream long, seq long, status string, reason string, delay_ms long", lambda state, key: [(key[0], *x) for x in state.flush()])
+
+
+def spoken_regions(decisions: DataFrame, *, frame_ms: int, detector: str = "cross_modal") -> DataFrame:
+    """A region of kind spoken_pii for each face that a protected decision (stream, seq, ts_ms, status, association, min_confidence, faces)
+    covers: the mouth of the speaker, or all of every face; it lives for one frame.
+
+    The speaker is the only face, or the one of the best score.
+    """
+    own = decisions.filter("status = 'protected'")
+    best = F.element_at(F.array_sort(F.transform("faces", lambda f, k: F.struct(F.coalesce(f["score"], F.lit(-1.0)).alias("score"), (-k).alias("k"), f.alias("face")))), -1)["face"]
+    box = lambda f: F.struct(f["x"].alias("x"), f["y"].alias("y"), f["w"].alias("w"), f["h"].alias("h"))
+    boxes = F.when(F.col("association") == "mouth", F.array(mouth_box(best))).otherwise(F.transform("faces", box))
+    each = own.select("stream", "seq", "ts_ms", "min_confidence", F.posexplode(boxes).alias("place", "b"))
+    return each.select("stream", "seq", "place", F.lit("spoken_pii").alias("kind"), "b.x", "b.y", "b.w", "b.h", F.col("min_confidence").alias("confidence"), F.lit(detector).alias("detector"), (F.col("ts_ms") + frame_ms).alias("expires_ms"))
+
+
+def faces_of(regions: DataFrame) -> DataFrame:
+    """Those regions that are faces."""
+    return regions.filter(F.col("kind").isin("face", "face_bystander"))
+
+
+def update_status(updates: DataFrame, decisions: DataFrame, key: list[str]) -> DataFrame:
+    """updates (key, reason, n_late) with status and reason: unsafe for a reason of its own, late audio, or the first unsafe decision
+    (key, seq, status) it released; else released if it released any; else pending."""
+    unsafe = F.when(F.col("status").startswith("unsafe"), F.col("status"))
+    own = decisions.groupBy(*key).agg(F.count("*").alias("__n"), F.min_by(unsafe, F.when(unsafe.isNotNull(), F.col("seq"))).alias("__first"))
+    reason = F.coalesce("reason", F.when(F.col("n_late") > 0, "unsafe_late_audio"), "__first")
+    both = updates.join(own, key, "left").withColumn("reason", reason)
+    return both.withColumn("status", F.when(F.col("reason").isNotNull(), "unsafe").when(F.col("__n") > 0, "released").otherwise("pending")).drop("__n", "__first")

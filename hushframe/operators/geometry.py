@@ -140,3 +140,38 @@ def face_regions(faces: DataFrame) -> DataFrame:
     box = {"x1": clamp(F.col("x1"), F.lit(0.0), w.cast("double")), "y1": clamp(F.col("y1"), F.lit(0.0), h.cast("double")), "x2": clamp(F.col("x2"), F.lit(0.0), w.cast("double")), "y2": clamp(F.col("y2"), F.lit(0.0), h.cast("double"))}
     out = faces.select("*", F.lit("face_bystander").alias("kind"), *[c.alias(k) for k, c in normalised(box, w, h).items()])
     return out.withColumn("status", F.when(F.col("x").isNull(), "error").otherwise("ok"))
+
+
+def all_detectors(**found: DataFrame) -> DataFrame:
+    """Regions of several detectors as one table, in order of their names, with detector."""
+    out = None
+    for name in sorted(found):
+        own = found[name].withColumn("detector", F.lit(name))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def dimension_status(width: Column, height: Column, image_width: Column, image_height: Column) -> Column:
+    """ok, or error where there is no image, or one of another size than the frame."""
+    return F.when(F.coalesce((image_width == width) & (image_height == height), F.lit(False)), "ok").otherwise("error")
+
+
+def recogniser_blocks(raw: DataFrame) -> DataFrame:
+    """raw (out: an array of (points: an array of [x, y], text, confidence)) as blocks (place, polygon, text, confidence); a block whose
+    points or confidence aren't finite numbers, or of fewer than three points, goes."""
+    each = raw.select("*", F.posexplode("out").alias("place", "__b")).drop("out")
+    point = lambda p: F.struct(F.get(p, F.lit(0)).cast("double").alias("x"), F.get(p, F.lit(1)).cast("double").alias("y"))
+    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    blocks = each.withColumns({"polygon": F.transform("__b.points", point), "text": F.col("__b.text"), "confidence": F.col("__b.confidence").cast("double")}).drop("__b")
+    return blocks.filter((F.size("polygon") >= 3) & F.forall("polygon", lambda p: finite(p["x"]) & finite(p["y"])) & finite(F.col("confidence")))
+
+
+def face_outputs(raw: DataFrame) -> DataFrame:
+    """raw (faces: an array of (bbox, det_score, quality, embedding)) as faces (place, x1, y1, x2, y2, confidence, quality, embedding).
+
+    A quality that isn't given is the confidence; an embedding with a value that isn't finite is null.
+    """
+    each = raw.select("*", F.posexplode("faces").alias("place", "__f")).drop("faces")
+    bad = F.exists("__f.embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    corners = {c: F.get("__f.bbox", F.lit(k)) for k, c in enumerate(("x1", "y1", "x2", "y2"))}
+    return each.withColumns({**corners, "confidence": F.col("__f.det_score"), "quality": F.coalesce("__f.quality", "__f.det_score"), "embedding": F.when(~bad, F.col("__f.embedding"))}).drop("__f")

@@ -113,3 +113,36 @@ def reasons_over_time(outcomes: DataFrame) -> DataFrame:
     """outcomes (stream, seq, ok, reason) with the detector's last known reason; a success clears it."""
     order = Window.partitionBy("stream").orderBy("seq")
     return outcomes.withColumn("detector_reason", F.nullif(F.last(F.when(F.col("ok"), "").otherwise(F.col("reason")), ignorenulls=True).over(order), F.lit("")))
+
+
+def reason_code(rejections: Column) -> Column:
+    """The one reason that stands for an enrollment's rejections (an array of names)."""
+    return F.when(F.array_contains(rejections, "detector_unavailable"), "detector_unavailable").when(F.array_contains(rejections, "detector_error"), "detector_error").otherwise("enrollment_rejected")
+
+
+def with_templates(outcomes: DataFrame, templates: DataFrame, key: str) -> DataFrame:
+    """outcomes after their accepted embeddings were put together (enroll): a template that can't be made (vectors of several sizes, or
+    that cancel out) is a rejection incompatible_embeddings, number -1, and not an enrollment."""
+    both = outcomes.join(templates.select(key, F.col("template").alias("__t")), key, "left")
+    bad = (F.col("status") == "enrolled") & F.col("__t").isNull()
+    extra = F.array(F.struct(F.lit(-1).cast("long").alias("index"), F.lit("incompatible_embeddings").alias("reason"))).cast("array<struct<index:bigint,reason:string>>")
+    return both.withColumns({"rejections": F.when(bad, F.concat("rejections", extra)).otherwise(F.col("rejections")), "status": F.when(bad, "rejected").otherwise(F.col("status"))}).drop("__t")
+
+
+def face_model(settings: DataFrame, manifests: DataFrame) -> DataFrame:
+    """settings (face_model_id, model_id, model_name, providers, default_name, default_provider) with the resolved model and problem.
+
+    The id meant for faces comes first; a general one counts only if its manifest (model_id, type, format, model_name, provider)
+    is for faces. The manifest must be an archive of that format. Settings' own names and providers win over the manifest's.
+    """
+    c = F.col
+    own = manifests.select(c("model_id").alias("__id"), c("type").alias("__type"), c("format").alias("__format"), c("model_name").alias("__name"), c("provider").alias("__provider"))
+    general = own.filter(c("__format") == "insightface-pack").select(c("__id").alias("model_id"), F.lit(True).alias("__faces"))
+    chosen = F.coalesce(F.nullif("face_model_id", F.lit("")), F.when(c("__faces"), c("model_id")))
+    found = settings.join(general, "model_id", "left").withColumn("resolved", chosen).join(own, c("resolved") == c("__id"), "left")
+    problem = F.when(c("resolved").isNull(), None).when(c("__id").isNull(), "no_manifest").when(c("__type") != "archive", "not_archive").when(F.coalesce(c("__format") != "insightface-pack", F.lit(True)), "format")
+    name = F.coalesce(F.nullif("model_name", F.lit("")), "__name", "default_name")
+    provider = F.coalesce("providers", "__provider", "default_provider")
+    fits = c("resolved").isNotNull() & problem.isNull()
+    out = {"problem": problem, "name": F.when(fits, name).otherwise(c("default_name")), "provider": F.when(fits, provider).otherwise(c("default_provider"))}
+    return found.withColumns(out).drop("__faces", "__id", "__type", "__format", "__name", "__provider")

@@ -130,3 +130,61 @@ def last_known(frames: DataFrame, value: str, *, cadence: int, ttl: int) -> Data
     what = F.last(F.when(F.col("seq") % cadence == 0, F.col(value)), ignorenulls=True).over(order)
     age = F.col("seq") - at
     return frames.withColumns({"age": F.when(age <= ttl, age), "reused": F.when(age <= ttl, what)})
+
+
+def registration_problem(registrations: DataFrame) -> DataFrame:
+    """registrations (ord, name, cadence, timeout_ms, ttl_ms, concurrency) with problem: the first rule that one breaks, or null.
+
+    Names are not empty and unique (the first one in order stays); numbers are above 0.
+    """
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("ord"))
+    c = F.col
+    problem = F.when(F.trim(F.coalesce(c("name"), F.lit(""))) == "", "name").when(nth > 1, "duplicate").when(c("cadence") <= 0, "cadence").when((c("timeout_ms") <= 0) | (c("ttl_ms") <= 0), "duration").when(c("concurrency") <= 0, "concurrency")
+    return registrations.withColumn("problem", problem)
+
+
+#: Statuses of a run that failed.
+FAILED = ("timeout", "unavailable", "invalid", "error")
+
+
+def failed_runs(runs: Column) -> Column:
+    """Those of an array of runs (status) that failed."""
+    return F.filter(runs, lambda r: r["status"].isin(*FAILED))
+
+
+def run_outcome(error: Column) -> Column:
+    """The status that an error of a named kind stands for; null: none, anything unknown: error."""
+    return F.when(error.isNull(), "success").when(error == "timeout", "timeout").when(error == "unavailable", "unavailable").when(error.isin("type", "value"), "invalid").otherwise("error")
+
+
+def queue_metrics(frames: DataFrame, key: str) -> DataFrame:
+    """(key, max_pending, total_wait_ms) of frames (pending, wait_ms): negative waits are 0."""
+    return frames.groupBy(key).agg(F.max("pending").alias("max_pending"), F.sum(F.greatest(F.lit(0.0), F.col("wait_ms"))).alias("total_wait_ms"))
+
+
+def release_times(frames: DataFrame, key: str) -> DataFrame:
+    """frames (seq, done_ms) with released_ms: a frame waits for all earlier ones, so it is out at the latest time so far."""
+    return frames.withColumn("released_ms", F.max("done_ms").over(Window.partitionBy(key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def live_regions(runs: DataFrame, regions: DataFrame) -> DataFrame:
+    """(stream, seq, detector, from_seq, ...): the regions that each detector has at each frame, of runs (stream, seq, ts_ms, detector,
+    status) and regions (stream, seq, detector, expires_ms, ...): those of its last success so far, until they expire."""
+    order = Window.partitionBy("stream", "detector").orderBy("seq")
+    last = F.last(F.when(F.col("status") == "success", F.col("seq")), ignorenulls=True).over(order)
+    at = runs.select("stream", "seq", "ts_ms", "detector", last.alias("from_seq")).filter("from_seq is not null")
+    own = regions.withColumnRenamed("seq", "from_seq")
+    return at.join(own, ["stream", "detector", "from_seq"]).filter(F.col("expires_ms") > F.col("ts_ms"))
+
+
+def protected_frames(frames: DataFrame, runs: DataFrame, regions: DataFrame, *, most: int = 256, least_iou: float = 0.0) -> DataFrame:
+    """(stream, seq, n_regions, failures, render_status): what comes of each frame (stream, seq, has_payload) after its detectors' runs.
+
+    Live regions of all detectors are merged; more than `most` of them, or none that fit a frame without payload, are not rendered.
+    """
+    live = live_regions(runs, regions).withColumn("frame", F.struct("stream", "seq")).withColumn("ordinal", F.struct("detector", "from_seq", "ordinal"))
+    merged = merge_regions(live, least_iou=least_iou, most=most).groupBy("frame").agg(F.count("*").alias("n")).select("frame.*", "n")
+    failed = runs.groupBy("stream", "seq").agg(F.count_if(F.col("status").isin(*FAILED)).alias("failures"))
+    own = frames.join(merged, ["stream", "seq"], "left").join(failed, ["stream", "seq"], "left").na.fill(0, ["n", "failures"])
+    status = F.when(F.col("n") > most, "error").when(~F.col("has_payload"), "no_payload").otherwise("rendered")
+    return own.select("stream", "seq", F.col("n").alias("n_regions"), "failures", status.alias("render_status"))

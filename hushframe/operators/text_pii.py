@@ -99,17 +99,17 @@ def spans(text: Column, config: Config = Config()) -> Column:
     return choose(candidates(F.coalesce(text, F.lit("")), config))
 
 
-def recognise(rows: DataFrame, text: str, config: Config = Config(), contextual: Column | None = None) -> DataFrame:
-    """rows with spans (null after an error) and status: ok or error.
+def recognise(rows: DataFrame, text: str, config: Config = Config(), contextual: Column | None = None, available: Column | None = None) -> DataFrame:
+    """rows with spans (null unless ok) and status: ok, error or unavailable.
 
     contextual: spans of another recogniser, null where it failed; a null, or a span beyond the text, is an error and never an
-    empty success.
+    empty success. available: whether that recogniser is there at all; without it, it is.
     """
     own = F.coalesce(F.col(text), F.lit(""))
     if contextual is None:
         return rows.withColumns({"spans": spans(own, config), "status": F.lit("ok")})
     bad = contextual.isNull() | F.exists(contextual, lambda s: (s["start"] < 0) | (s["end"] <= s["start"]) | (s["end"] > F.length(own)))
-    status = F.when(F.coalesce(bad, F.lit(True)), "error").otherwise("ok")
+    status = F.when(F.coalesce(~available, F.lit(True)) if available is not None else F.lit(False), "unavailable").when(F.coalesce(bad, F.lit(True)), "error").otherwise("ok")
     return rows.withColumn("status", status).withColumn("spans", F.when(F.col("status") == "ok", choose(F.concat(candidates(own, config), contextual.cast(SPAN)))))
 
 
@@ -131,6 +131,11 @@ def normalise_ocr(text: Column) -> Column:
     return F.when(text.rlike(r"^\p{ASCII}*$"), normalise_ocr_ascii(text)).otherwise(folded(text))
 
 
+def classify_ocr(rows: DataFrame, text: str, config: Config = Config()) -> DataFrame:
+    """rows with form and spans: recognised text's normal form, and the spans of that."""
+    return rows.withColumn("form", normalise_ocr(F.coalesce(F.col(text), F.lit("")))).withColumn("spans", spans(F.col("form"), config))
+
+
 def redact(text: Column, found: Column, mark: str = "█") -> Column:
     """text with each span's characters replaced by as many marks."""
     none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -84,12 +84,12 @@ def text_pii_by_source_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.groupBy("lang", F.col("s.category").alias("category")).agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("docs"))
 
 
-_WORDS_CONFIG = text_pii.Config(email=False, phone=False, patterns=(text_pii.Pattern("government_id", r"\b[a-z]{2}\d{7}[a-z]\b"), text_pii.Pattern("payment_identifier", r"\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}\b", 0.8)))
+_WORDS_CONFIG = text_pii.Config(email=False, phone=False, patterns=(text_pii.Pattern("government_id", r"\b\d{3}-\d{4}\b"), text_pii.Pattern("payment_identifier", r"\b\d{16}\b", 0.8)))
 
 
 @query("configured_patterns", r"""SELECT doc_id, category, count(*) AS spans FROM (
-  SELECT doc_id, 'government_id' AS category, unnest(regexp_extract_all(text, '(?i)\b[a-z]{2}\d{7}[a-z]\b')) AS v FROM documents UNION ALL
-  SELECT doc_id, 'payment_identifier', unnest(regexp_extract_all(text, '\b\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}\b')) FROM documents) GROUP BY doc_id, category""")
+  SELECT doc_id, 'government_id' AS category, unnest(regexp_extract_all(text, '\b\d{3}-\d{4}\b')) AS v FROM documents UNION ALL
+  SELECT doc_id, 'payment_identifier', unnest(regexp_extract_all(text, '\b\d{16}\b')) FROM documents) GROUP BY doc_id, category""")
 def configured_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = _documents(spark, sf_dir).select("doc_id", F.explode(text_pii.spans(F.col("text"), _WORDS_CONFIG)).alias("s"))
     return each.groupBy("doc_id", F.col("s.category").alias("category")).agg(F.count("*").alias("spans"))
@@ -119,13 +119,16 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documents(spark, sf_dir).select("doc_id", "text", polygon.alias("polygon"), ((c("doc_id") % 10) / 10.0).alias("confidence"), F.lit(200).alias("width"), F.lit(100).alias("height"))
 
 
-@query("ocr_regions", f"""WITH s AS ({_SPANS}),
+_FORM = "(SELECT doc_id, trim(regexp_replace(replace(replace(lower(nfc_normalize(coalesce(text, ''))), 'ß', 'ss'), '…', '...'), '\\s+', ' ', 'g'), ' |~') AS text FROM documents)"
+
+
+@query("ocr_regions", f"""WITH s AS ({_SPANS.replace("FROM documents", "FROM " + _FORM)}),
 b AS (SELECT doc_id, doc_id % 150 AS x, doc_id % 80 AS y, (doc_id % 10) / 10.0 AS confidence FROM documents),
 k AS (SELECT doc_id, CASE WHEN count(DISTINCT category) = 1 THEN min(category) ELSE 'custom_sensitive_text' END AS kind FROM s GROUP BY doc_id),
 g AS (SELECT doc_id, kind, confidence, greatest(0.0, x - 1 - 4.0) AS x1, greatest(0.0, y - 2.0) AS y1, least(200.0, x + 60 + 4.0) AS x2, least(100.0, y + 20 + 2.0) AS y2 FROM b JOIN k USING (doc_id) WHERE confidence >= 0.4)
 SELECT doc_id, kind, cast(confidence AS DOUBLE) AS confidence, round(cast(x1 / 200 AS DOUBLE), 9) AS x, round(cast(y1 / 100 AS DOUBLE), 9) AS y, round(cast((x2 - x1) / 200 AS DOUBLE), 9) AS w, round(cast((y2 - y1) / 100 AS DOUBLE), 9) AS h FROM g WHERE x2 > x1 AND y2 > y1""")
 def ocr_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = geometry.ocr_regions(_blocks(spark, sf_dir), text_pii.spans(F.col("text")))
+    found = geometry.ocr_regions(text_pii.classify_ocr(_blocks(spark, sf_dir), "text"), F.col("spans"))
     return found.select("doc_id", "kind", "confidence", *[F.round(c, 9).alias(c) for c in "xywh"])
 
 
@@ -216,17 +219,17 @@ def last_known_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- embeddings
 
 _UNIT = "list_transform(cast(embedding AS DOUBLE[]), lambda x: x / sqrt(list_sum(list_transform(cast(embedding AS DOUBLE[]), lambda y: y * y))))"
-_TEMPLATE = f"""first8 AS (SELECT vec_id, {_UNIT} AS u FROM embeddings WHERE label = 0 ORDER BY vec_id LIMIT 8),
-mean AS (SELECT i, sum(u[i]) / (SELECT count(*) FROM first8) AS m FROM first8, range(1, 65) r(i) GROUP BY i),
+_TEMPLATE = f"""own AS (SELECT vec_id, {_UNIT} AS u FROM embeddings WHERE label = 0),
+mean AS (SELECT i, sum(u[i]) / (SELECT count(*) FROM own) AS m FROM own, range(1, 65) r(i) GROUP BY i),
 template AS (SELECT list(m / (SELECT sqrt(sum(m * m)) FROM mean) ORDER BY i) AS t FROM mean)"""
 
 
 def _enrolled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = table(spark, sf_dir, "embeddings").filter("label = 0").orderBy("vec_id").limit(8).withColumn("creator", F.lit(0))
+    chosen = table(spark, sf_dir, "embeddings").filter("label = 0").withColumn("creator", F.lit(0))
     return identity.enroll(chosen, "creator", "vec_id", "embedding")
 
 
-@query("embedding_enroll", f"WITH {_TEMPLATE} SELECT cast(len(t) AS INT) AS dim, cast((SELECT count(*) FROM first8) AS INT) AS sample_count, round(t[1], 6) AS first_value, round(list_sum(list_transform(t, lambda x: x * x)), 6) AS norm FROM template")
+@query("embedding_enroll", f"WITH {_TEMPLATE} SELECT cast(len(t) AS INT) AS dim, cast((SELECT count(*) FROM own) AS INT) AS sample_count, round(t[1], 6) AS first_value, round(list_sum(list_transform(t, lambda x: x * x)), 6) AS norm FROM template")
 def embedding_enroll(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _enrolled(spark, sf_dir)
     return found.select("dim", "sample_count", F.round(F.col("template")[0], 6).alias("first_value"), F.round(F.pow(identity.magnitude(F.col("template")), 2), 6).alias("norm"))
@@ -345,7 +348,7 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("spoken_tokens", r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '\S+')) AS word FROM documents),
 t AS (SELECT doc_id, trim(lower(word), ' ,;:!?') AS t FROM w)
 SELECT doc_id, count(*) FILTER (WHERE t <> '') AS tokens, count(*) FILTER (WHERE t IN ('at', 'dot', 'period', 'underscore', 'dash', 'hyphen', 'plus', 'zero', 'oh', 'one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine')) AS replaced,
-  md5(string_agg(DISTINCT CASE t WHEN 'at' THEN '@' WHEN 'dot' THEN '.' WHEN 'one' THEN '1' ELSE t END, ' ' ORDER BY CASE t WHEN 'at' THEN '@' WHEN 'dot' THEN '.' WHEN 'one' THEN '1' ELSE t END) FILTER (WHERE length(t) BETWEEN 1 AND 3)) AS short_md5 FROM t GROUP BY doc_id""")
+  md5(string_agg(DISTINCT """ + sequential.SPOKEN_TABLE + """, ' ' ORDER BY """ + sequential.SPOKEN_TABLE + r""") FILTER (WHERE length(t) BETWEEN 1 AND 3)) AS short_md5 FROM t GROUP BY doc_id""")
 def spoken_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = _words(spark, sf_dir).withColumn("t", audio.spoken_token(F.col("word"))).withColumn("plain", F.btrim(F.lower("word"), F.lit(audio.EDGE)))
     known = [*audio.DIGITS, *audio.SYMBOLS]

@@ -51,8 +51,8 @@ def test_reason_fold(spark):
 
 
 def test_spoken_words(spark):
-    digits = "five five five one two three four five six seven".split()
-    rows = [(1, k, w, k * 30, k * 30 + 30, 0.9) for k, w in enumerate(digits)] + [(2, k, w, k * 100, k * 100 + 100, 0.5) for k, w in enumerate("alice at example dot com".split())]
+    digits = "zero two oh seven nine four six three one eight".split()
+    rows = [(1, k, w, k * 30, k * 30 + 30, 0.9) for k, w in enumerate(digits)] + [(2, k, w, k * 100, k * 100 + 100, 0.5) for k, w in enumerate("kite at wind dot test".split())]
     df = spark.createDataFrame(rows, "id long, pos long, word string, start_ms long, end_ms long, confidence double")
     assert {(r["id"], r["start_ms"], r["end_ms"], r["reason"]) for r in spoken_pii(df, "id").collect()} == {(1, 0, 300, "phone_number"), (2, 0, 500, "email")}
     assert spark.range(1).select(spoken_token(F.lit(" Dot, "))).first()[0] == "."

@@ -10,11 +10,11 @@ def found(spark, text, config=t.Config()):
 
 
 def test_email_and_phone(spark):
-    text = "Contact owner@example.com or call +65 8123 4567"
-    assert found(spark, text) == [("email", 8, 25), ("phone_number", 34, 47)]
+    text = "ring (020) 7946-0011 first, then write to lost.keys@harbour.test"
+    assert found(spark, text) == [("phone_number", 6, 20), ("email", 42, 64)]
 
 
-@pytest.mark.parametrize("text", ["Report date 2025-01-31, price 123456.78, build 1234567", "", None, "4785 3805 9239 1139"])
+@pytest.mark.parametrize("text", ["ran 12/11/1998 for 98765432.10 at lap 77", "", None, "4785 3805 9239 1139"])
 def test_nothing(spark, text):
     assert found(spark, text) == []
 
@@ -24,16 +24,16 @@ def test_addresses_count_as_phone_numbers(spark):
 
 
 def test_space_around_dots_extends_an_address(spark):
-    assert found(spark, "owner@example.com. Next word") == [("email", 0, 23)]
+    assert found(spark, "kite@wind.test. After that") == [("email", 0, 21)]
 
 
 def test_disabled(spark):
-    assert found(spark, "owner@example.com +65 8123 4567", t.Config(email=False, phone=False)) == []
+    assert found(spark, "kite@wind.test 020 7946 0011", t.Config(email=False, phone=False)) == []
 
 
 def test_configured(spark):
-    config = t.Config(patterns=(t.Pattern("government_id", r"\bSG\d{7}[A-Z]\b"), t.Pattern("payment_identifier", r"\bPAY-\d{8}\b")))
-    assert [c for c, *_ in found(spark, "sg1234567a and PAY-12345678", config) if c != "phone_number"] == ["government_id", "payment_identifier"]
+    config = t.Config(phone=False, patterns=(t.Pattern("government_id", r"\bQX-[0-9A-F]{6}\b"), t.Pattern("payment_identifier", r"\bcard no\. \d{5}\b")))
+    assert found(spark, "Card No. 40213, issued to qx-00af19; qx-00af1 isn't one", config) == [("payment_identifier", 0, 14), ("government_id", 26, 35)]
     with pytest.raises(ValueError):
         t.Pattern("email", "x")
 
@@ -44,15 +44,16 @@ def test_code_points(spark):
 
 def test_a_failed_contextual_recogniser_is_an_error(spark):
     rows = spark.createDataFrame([("a@b.co", None), ("a@b.co", [(0, 99, "email", "c", 0.5)]), ("a@b.co x", [(7, 8, "postal_address", "c", 0.5)])], f"text string, more {t.SPAN}")
-    got = t.recognise(rows, "text", contextual=F.col("more")).select("status", F.size("spans").alias("n")).collect()
-    assert [(r["status"], r["n"]) for r in got] == [("error", -1), ("error", -1), ("ok", 2)] or [(r["status"], r["n"]) for r in got] == [("error", None), ("error", None), ("ok", 2)]
+    got = t.recognise(rows, "text", contextual=F.col("more")).select("status", "spans").collect()
+    assert [(r["status"], r["spans"] and len(r["spans"])) for r in got] == [("error", None), ("error", None), ("ok", 2)]
+    assert {r["status"] for r in t.recognise(rows, "text", contextual=F.col("more"), available=F.lit(False)).collect()} == {"unavailable"}
 
 
 def test_ocr_forms(spark):
-    rows = spark.createDataFrame([("  Café Owner  ",), ("A | B ~",), (None,)], "text string")
-    assert [r[0] for r in rows.select(t.normalise_ocr(F.col("text"))).collect()] == ["café owner", "a | b", None]
+    rows = spark.createDataFrame([("  Thé VERT  ",), ("A | B ~",), (None,)], "text string")
+    assert [r[0] for r in rows.select(t.normalise_ocr(F.col("text"))).collect()] == ["thé vert", "a | b", None]
 
 
 def test_redaction(spark):
-    rows = spark.createDataFrame([("call +65 8123 4567!",)], "text string")
+    rows = spark.createDataFrame([("call 020 7946 0011!",)], "text string")
     assert rows.select(t.redact(F.col("text"), t.spans(F.col("text")), "x")).first()[0] == "call " + "x" * 13 + "!"
