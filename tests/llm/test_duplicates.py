@@ -190,13 +190,13 @@ def brute_leaks(docs, items):
         for item, other in items:
             v = split(other)
             n, window = len(v), min(15, len(v))
-            asked = window - (3 if n >= 15 else 2 if n >= 12 else 0)
+            asked = window - (3 if n >= 15 else 2 if n >= 12 else 1 if n >= 9 else 0)
             best = None
             for shift in range(-n, len(w)):
                 equal = [0 <= shift + p < len(w) and w[shift + p] == v[p] for p in range(n)]
                 for p in range(n - window + 1):
                     e = sum(equal[p : p + window])
-                    if n >= 6 and e >= asked and (best is None or (-e, shift + p) < best):
+                    if n and e >= asked and (best is None or (-e, shift + p) < best):
                         best = (-e, shift + p)
             if best:
                 out.add((d, item, -best[0], window, best[1]))
@@ -206,7 +206,7 @@ def brute_leaks(docs, items):
 def test_leaks(spark, make, clashing):
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(40)] + ["É", "Ab"]
-    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([3, 6, 8, 12, 14, 15, 30])))) for k in range(25)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.choice([2, 3, 5, 6, 8, 10, 12, 14, 15, 30])))) for k in range(25)]
     rows = []
     for _ in range(60):
         w = rng.choices(vocabulary, k=rng.randint(0, 20))
@@ -217,18 +217,18 @@ def test_leaks(spark, make, clashing):
             w += v[rng.randint(0, 2) :] + rng.choices(vocabulary, k=rng.randint(0, 5))
         rows.append(", ".join(w))
     rows += [None, "", items[8][1].upper(), "filler " * 20_000 + items[9][1]]
-    bench = spark.createDataFrame([*items, (None, "x " * 20), (99, None)], "item_id long, text string")
+    bench = spark.createDataFrame([*items, items[0], (None, "x " * 20), (99, None), (98, " ., "), (97, "")], "item_id long, text string")
     got = {(r["doc_id"], *x) for r in decontaminate.find_leaks(clashing(make(spark, rows)), bench).collect() for x in r["leaks"]}
     want = brute_leaks(list(enumerate(rows[:-1])), items)
     assert {x for x in got if x[0] < len(rows) - 1} == want and want
     assert len(items[9][1].split()) < 6 or any(x[:2] == (len(rows) - 1, 9) for x in got)
 
 
-def test_a_benchmark_in_blocks(spark, make, monkeypatch, empty):
-    items = spark.createDataFrame([(k, " ".join(f"v{k}x{j}" for j in range(20))) for k in range(9)], "item_id long, text string")
-    docs = make(spark, [" ".join(f"v{k}x{j}" for j in range(20)) for k in range(9)])
-    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
-    assert all([x["item_id"] for x in r["leaks"]] == [r["doc_id"]] for r in decontaminate.find_leaks(docs, items).collect())
+def test_a_small_bitmap_changes_nothing(spark, make, monkeypatch, empty):
+    items = spark.createDataFrame([(f"i{k}", " ".join(f"v{k}x{j}" for j in range(20))) for k in range(9)], "item_id string, text string")
+    docs = make(spark, [" ".join(f"v{k}x{j}" for j in range(20)) for k in range(9)] * 2)
+    monkeypatch.setattr(decontaminate, "BITS", 15)
+    assert all([x["item_id"] for x in r["leaks"]] == [f"i{r['doc_id'] % 9}"] for r in decontaminate.find_leaks(docs, items).collect())
     assert decontaminate.find_leaks(docs, items.limit(0)).filter(F.size("leaks") > 0).count() == 0
     assert decontaminate.find_leaks(empty, items).count() == 0
 
