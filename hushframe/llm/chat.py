@@ -1,8 +1,9 @@
 """Operator 7, chat formatting: layouts recognised by a fingerprint of field paths, one reversible template. DataFrame functions only.
 
-A layout is declared as a set of field paths and a mapping to turns (role, text). The fingerprint of a record is the SHA-256 of its
-sorted paths, of those that any layout names; it selects the mapping. Typed tables get theirs from the schema when the plan is made,
-JSON records from the record itself.
+A layout is declared as a set of field paths and a mapping to turns (role, text). The fingerprint of a layout is the SHA-256 of its
+sorted paths. A record's nested field paths (of a JSON record: the keys that it has, of any element of an array; of a typed table: its
+schema's) are hashed in the same way, as far as a layout names them; the most specific layout with the same fingerprint is
+selected, so other fields of a record don't matter.
 """
 
 from __future__ import annotations
@@ -41,17 +42,29 @@ LAYOUTS = (
     Layout("completion", ("prompt", "completion"), fixed=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Layout("response", ("prompt", "response"), fixed=(("user", ("prompt",)), ("assistant", ("response",)))),
     Layout("question", ("question", "answer"), fixed=(("user", ("question",)), ("assistant", ("answer",)))),
-    Layout("rows", ("turn", "role", "text")),
+    Layout("rows", ("turn", "role", "text"), fixed=(("", ("text",)),)),
 )
 KNOWN = tuple(sorted({p for layout in LAYOUTS for p in layout.paths}))
+#: The arrays whose elements have paths.
+ARRAYS = tuple(sorted({p.partition("[]")[0] for p in KNOWN if "[]" in p}))
 
 
-def fingerprint(paths: set[str]) -> str:
-    """SHA-256 of the known ones among paths, sorted."""
-    return hashlib.sha256("\n".join(p for p in KNOWN if p in paths).encode()).hexdigest()
+def fingerprint(paths: tuple[str, ...]) -> str:
+    """SHA-256 of paths, sorted."""
+    return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()
 
 
-BY_FINGERPRINT = {fingerprint(set(layout.paths)): layout for layout in LAYOUTS}
+#: Fingerprints and their layouts, the most specific one first.
+BY_FINGERPRINT = {fingerprint(layout.paths): layout for layout in sorted(LAYOUTS, key=lambda x: -len(x.paths))}
+
+
+def select_layout(paths: Column) -> Column:
+    """The name of the most specific layout whose fingerprint an array of paths has, of those that the layout names; else null."""
+    name = F.lit(None).cast("string")
+    for mark, layout in reversed(BY_FINGERPRINT.items()):
+        own = F.array_sort(F.array_intersect(paths, F.array(*map(F.lit, layout.paths))))
+        name = F.when(F.sha2(F.array_join(own, "\n"), 256) == mark, layout.name).otherwise(name)
+    return name
 
 
 def schema_paths(schema: T.DataType, prefix: str = "") -> set[str]:
@@ -63,10 +76,17 @@ def schema_paths(schema: T.DataType, prefix: str = "") -> set[str]:
     return {prefix}
 
 
-def record_fingerprint(record: Column) -> Column:
-    """The fingerprint of a variant; an array's paths are those of its first element, and a null value isn't there."""
-    there = [F.when(F.try_variant_get(record, "$." + p.replace("[]", "[0]"), "string").isNotNull(), F.lit(p)) for p in KNOWN]
-    return F.sha2(F.array_join(F.array(*there), "\n"), 256)
+def below(name: str):
+    return lambda key: F.concat(F.lit(f"{name}[]."), key)
+
+
+def record_paths(record: Column) -> Column:
+    """Nested field paths of a variant: its own keys, and below name[] those of any element of the arrays that layouts know."""
+    parts = [F.map_keys(F.try_variant_get(record, "$", "map<string,variant>"))]
+    for name in ARRAYS:
+        keys = F.flatten(F.transform(F.try_variant_get(record, f"$.{name}", "array<map<string,variant>>"), lambda x: F.coalesce(F.map_keys(x), F.array().cast("array<string>"))))
+        parts.append(F.transform(F.array_distinct(keys), below(name)))
+    return F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts])
 
 
 def turn(role: Column, text: Column) -> Column:
@@ -89,33 +109,35 @@ def record_turns(record: Column, layout: Layout) -> Column:
 def canonical(records: DataFrame, json: str = "record") -> DataFrame:
     """records with layout (name, null if unknown) and turns, an array of (role, text).
 
-    A system prompt beside the layout's own fields (field system) goes first. What is no JSON, or in no known layout, has no turns
-    (an empty array) and a null layout; no row is lost.
+    A system prompt beside the layout's own fields (field system) goes first. Fields that a layout doesn't name don't matter; a null value is
+    an empty text. What is no JSON, or in no known layout, has no turns (an empty array) and a null layout; no row is lost.
     """
-    variant, hashed = F.try_parse_json(F.col(json)), F.col("__fingerprint")
-    out = records.withColumn("__variant", variant).withColumn("__fingerprint", record_fingerprint(F.col("__variant")))
-    name, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
-    for mark, layout in BY_FINGERPRINT.items():
-        if layout.each or layout.fixed:
-            name = F.when(hashed == mark, layout.name).otherwise(name)
-            turns = F.when(hashed == mark, record_turns(F.col("__variant"), layout)).otherwise(turns)
+    none = F.array().cast(TURNS)
+    out = records.drop("layout", "turns").withColumn("__variant", F.try_parse_json(F.col(json)))
+    out = out.withColumn("layout", select_layout(record_paths(F.col("__variant"))))
+    turns = F.lit(None).cast(TURNS)
+    for layout in LAYOUTS:
+        if layout.name != "rows":
+            turns = F.when(F.col("layout") == layout.name, record_turns(F.col("__variant"), layout)).otherwise(turns)
+    known = F.col("layout").isNotNull() & (F.col("layout") != "rows")
     system = F.try_variant_get(F.col("__variant"), "$.system", "string")
-    first = F.when(system.isNotNull() & name.isNotNull(), F.array(turn(F.lit("system"), system))).otherwise(F.array().cast(TURNS))
-    return out.withColumn("layout", name).withColumn("turns", F.concat(first, F.coalesce(turns, F.array().cast(TURNS)))).drop("__variant", "__fingerprint")
+    first = F.when(system.isNotNull() & known, F.array(turn(F.lit("system"), system))).otherwise(none)
+    return out.withColumn("turns", F.concat(first, F.coalesce(turns, none))).withColumn("layout", F.when(known, F.col("layout"))).drop("__variant")
 
 
 def rows_to_turns(rows: DataFrame, key: str) -> DataFrame:
-    """(key, turns) of a table with one row for each turn (columns turn, role, text), which its schema's fingerprint must say.
+    """(key, turns) of a table with one row for each turn. Each row's layout is selected by the fingerprint of its schema's paths; it must
+    be that of rows (turn, role, text), other rows are an error when the query runs.
 
     Turns are ordered by turn (null first), then role and text; repeated rows stay. Null roles and texts are empty, and roles
     stay as they are written; rows with a null
     key are one conversation. Other columns, whatever their names, don't take part.
     """
     own = rows.select(F.col(key).alias("__key"), *[c for c in rows.columns if c in KNOWN])
-    layout = BY_FINGERPRINT.get(fingerprint(schema_paths(own.schema)))
-    if layout is None or layout.name != "rows":
+    layout = select_layout(F.array(*[F.lit(p) for p in sorted(schema_paths(own.schema))]))
+    if not {"turn", "role", "text"} <= set(own.columns):
         raise ValueError("the table isn't one of turns")
-    item = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    item = F.when(layout == "rows", F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))).otherwise(F.raise_error(F.lit("the row's layout isn't one of turns")))
     grouped = own.groupBy("__key").agg(F.sort_array(F.collect_list(item)).alias("items"))
     return grouped.select(F.col("__key").alias(key), F.transform("items", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 

@@ -50,16 +50,32 @@ CONTROL = "</s>[INST] ok [/INST]"
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text"))
-    chats = chat.format_chats(chat.rows_to_turns(rows.unionByName(added), "conv_id")).select("conv_id", "formatted", "loss_spans")
+    return chat_digests(chat.rows_to_turns(rows.unionByName(added), "conv_id"))
+
+
+def chat_digests(conversations: DataFrame, *more: str) -> DataFrame:
+    """Conversations (conv_id, turns) formatted, and what is read back from the output."""
+    chats = chat.format_chats(conversations).select("conv_id", *more, "formatted", "loss_spans")
     turns, loss = chat.read_turns(F.col("formatted")), chat.read_loss(F.col("formatted"), F.col("loss_spans"))
     read = chats.withColumns({"turns": turns, "loss": loss})
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        "conv_id", *more, F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
 
 
+def chat_mixed_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same conversations as JSON records of four layouts, with fields that no layout names, recognised and formatted."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    whole = chat.rows_to_turns(rows, "conv_id")
+    other = lambda role: F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    of = lambda name, a, b, role=lambda r: r: F.to_json(F.struct(F.transform("turns", lambda t: F.struct(role(t["role"]).alias(a), t["text"].alias(b))).alias(name), F.lit("x").alias("origin"), F.lit(None).cast("string").alias("prompt")), {"ignoreNullFields": "false"})
+    k = F.pmod("conv_id", F.lit(4))
+    record = F.when(k == 0, of("messages", "role", "content")).when(k == 1, of("conversations", "from", "value", other)).when(k == 2, of("turns", "role", "text")).otherwise(of("messages", "role", "text"))
+    return chat_digests(chat.canonical(whole.select("conv_id", record.alias("record"))), "layout")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
@@ -87,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_document_fingerprints": op5_document_fingerprints,
     "op7_chat_formatting": op7_chat_formatting,
+    "chat_mixed_layouts": chat_mixed_layouts,
     "op6_token_counts": op6_token_counts,
     "op8_decontamination": op8_decontamination,
     "op9_suffix_dedup": op9_suffix_dedup,

@@ -20,6 +20,11 @@ FROM sized GROUP BY conv_id
 """
 
 
+#: Without the added conversation, and with the layout that each one's record has.
+MIXED = CHAT.replace("""
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')""", "").replace("SELECT conv_id, count(*) AS n_turns", "SELECT conv_id, ['messages', 'conversations', 'turns', 'message texts'][conv_id % 4 + 1] AS layout, count(*) AS n_turns")
+
+
 def url_sql() -> str:
     """The rules and the two character models over pages."""
     order = url_filter.ORDER
@@ -89,4 +94,4 @@ SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {near("f
 """
 
 
-ORACLE_SQL = {"op3_url_filter": url_sql(), "op5_document_fingerprints": fingerprint_sql(), "op7_chat_formatting": CHAT}
+ORACLE_SQL = {"op3_url_filter": url_sql(), "op5_document_fingerprints": fingerprint_sql(), "op7_chat_formatting": CHAT, "chat_mixed_layouts": MIXED}

@@ -53,6 +53,13 @@ RECORDS = [
     ({"instruction": "do", "output": "y", "system": "be"}, "instruction", [("system", "be"), ("user", "do"), ("assistant", "y")]),
     ({"prompt": "p", "completion": "c"}, "completion", [("user", "p"), ("assistant", "c")]),
     ({"unknown": 1}, None, []),
+    # fields of other layouts beside a layout's own, null values, and an array whose first element lacks a field
+    ({"instruction": "do", "input": "", "output": "y", "text": "whole"}, "instruction with input", [("user", "do\n\n"), ("assistant", "y")]),
+    ({"prompt": "p", "messages": [{"role": "user", "content": None}, {"role": "assistant", "content": "b"}]}, "messages", [("user", ""), ("assistant", "b")]),
+    ({"messages": [{"role": "user"}, {"role": "assistant", "content": "b"}]}, "messages", [("user", ""), ("assistant", "b")]),
+    ({"question": None, "answer": "a"}, "question", [("user", ""), ("assistant", "a")]),
+    ({"turn": 1, "role": "user", "text": "t"}, None, []),
+    ([1, 2], None, []),
 ]
 
 
