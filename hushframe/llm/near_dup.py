@@ -67,12 +67,13 @@ def text_hash(text: Column) -> tuple[Column, Column]:
 
 
 def sign(texts: DataFrame, words: int, bands: int, rows: int, size: int) -> DataFrame:
-    """(h1, h2, text, bands, sketch) of texts (h1, h2, text): band hashes (none for a text without words), a byte for each component."""
+    """(h1, h2, text, bands, sketch, shingles) of texts (h1, h2, text): band hashes (none for a text without words), a byte for each
+    component, the number of shingles."""
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(2))
-            keys, sketches, some = [], [], []
+            keys, sketches, some, sizes = [], [], [], []
             for i, j in steps(offsets):
                 element, weight, row = bags(Tokens(data, offsets[i : j + 1], _WORDS), words)
                 found = signatures(element, weight, row, j - i, size).view(U64)
@@ -82,14 +83,15 @@ def sign(texts: DataFrame, words: int, bands: int, rows: int, size: int) -> Data
                 keys.append(band.view(np.int64))
                 sketches.append((mix(found) >> U64(56)).astype(np.uint8))
                 some.append(np.bincount(row, minlength=j - i) > 0)
+                sizes.append(np.bincount(row, weight, j - i).astype(np.int64))
             if not keys:
                 continue
             keys, sketches, some = np.concatenate(keys), np.concatenate(sketches), np.concatenate(some)
             first = np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)
             sketch = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((np.arange(len(some) + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(sketches))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(first), pa.array(keys[some].reshape(-1))), sketch], names=["h1", "h2", "text", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(first), pa.array(keys[some].reshape(-1))), sketch, pa.array(np.concatenate(sizes))], names=["h1", "h2", "text", "bands", "sketch", "shingles"])
 
-    return texts.select("h1", "h2", "text").mapInArrow(signed, "h1 long, h2 long, text string, bands array<long>, sketch binary")
+    return texts.select("h1", "h2", "text").mapInArrow(signed, "h1 long, h2 long, text string, bands array<long>, sketch binary, shingles long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -172,8 +174,8 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, node, label, out, n, outside): the rows of buckets that have several labels; out: not of the bucket's most frequent one."""
-    members = cut(shared.select("bucket", "node").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "members")
+    """(bucket, band, node, label, out, n, outside): the rows of buckets that have several labels; out: not of the bucket's most frequent one."""
+    members = cut(shared.select("bucket", "band", "node").join(labels, "node", "left").select("bucket", "band", "node", F.coalesce("label", "node").alias("label")), "members")
     shares = members.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     sizes = shares.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).filter("most.n < n")
     sizes = cut(sizes.select("bucket", F.col("most.label").alias("main"), "n", (F.col("n") - F.col("most.n")).alias("outside")), "open-buckets")
@@ -182,14 +184,16 @@ def open_rows(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return found
 
 
-def compare_outside(rows: DataFrame, sketches: DataFrame, size: int, least: float, likeliest: bool) -> DataFrame:
-    """(a, b): pairs of step 3 with an estimate of `least` or more, of open_rows and the texts' sketches; b is a text outside its bucket's
-    largest component. With likeliest, only the best one of each b."""
+def compare_outside(rows: DataFrame, sketches: DataFrame, bands: int, width: int, size: int, bar: float, least: float, likeliest: bool) -> DataFrame:
+    """(a, b): pairs of step 3 with an estimate of `bar` or more, of open_rows and the texts' sketches (node, sketch, shingles); b is a text
+    outside its bucket's largest component. With likeliest, only the best one of each b; else a pair comes from the first of the
+    bands that it shares. Texts whose numbers of shingles rule out a similarity of `least` are no pair.
+    """
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     own = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     all_ = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     rows = rows.hint("merge").join(sketches, "node")
-    columns = ("out", "node", "label", "sketch")
+    columns = ("out", "node", "label", "sketch", "shingles", "band")
     against = rows.select("bucket", own("n").alias("k"), all_("outside").alias("q"), F.lit(False).alias("asks"), *columns)
     asking = rows.filter("out").select("bucket", all_("n").alias("k"), own("outside").alias("q"), F.lit(True).alias("asks"), *columns)
     dealt = against.union(asking)
@@ -197,17 +201,22 @@ def compare_outside(rows: DataFrame, sketches: DataFrame, size: int, least: floa
 
     def pairs(group: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
         table = pa.Table.from_batches(group)
-        asks, out, node, label = (table[c].to_numpy() for c in ("asks", "out", "node", "label"))
+        asks, out, node, label, shingles = (table[c].to_numpy() for c in ("asks", "out", "node", "label", "shingles"))
+        band = table["band"][0].as_py()
         sketch = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(node), size)
         rest = np.flatnonzero(~asks)
         for q in np.flatnonzero(asks):
             # two texts outside the largest component ask once, unless each looks for its likeliest link
-            others = rest[(label[rest] != label[q]) & (~out[rest] | (node[q] < node[rest]) | likeliest)]
-            agree = (sketch[others] == sketch[q]).mean(axis=1)
-            estimate = (agree - 1 / 256) / (1 - 1 / 256)
-            hit = np.flatnonzero(estimate >= least)
+            fits = np.minimum(shingles[rest], shingles[q]) >= least * np.maximum(shingles[rest], shingles[q]) - 1e-9
+            others = rest[fits & (label[rest] != label[q]) & (~out[rest] | (node[q] < node[rest]) | likeliest)]
+            same = sketch[others] == sketch[q]
+            estimate = (same.mean(axis=1) - 1 / 256) / (1 - 1 / 256)
+            hit = np.flatnonzero(estimate >= bar)
             if likeliest and len(hit):
                 hit = hit[[np.argmax(estimate[hit])]]
+            elif len(hit):
+                shared = same[hit, : bands * width].reshape(len(hit), bands, width).all(axis=2)
+                hit = hit[np.argmax(shared, axis=1) == band]
             yield node[others[hit]], np.full(len(hit), node[q]), estimate[hit]
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +228,7 @@ def compare_outside(rows: DataFrame, sketches: DataFrame, size: int, least: floa
     found = dealt.mapInArrow(compared, "a long, b long, estimate double")
     if likeliest:
         return found.groupBy("b").agg(F.max_by("a", F.struct("estimate", "a")).alias("a")).select("a", "b")
-    return found.select("a", "b").distinct()
+    return found.select("a", "b")
 
 
 def classes(docs: DataFrame, **options) -> DataFrame:
@@ -239,21 +248,21 @@ def hashed_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     docs = docs.select(F.col(doc_id).alias("doc_id"), h1.alias("h1"), h2.alias("h2"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     distinct = docs.groupBy("h1", "h2").agg(F.first("text").alias("text"))
     nodes = cut(sign(distinct, words, bands, rows, size).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("bucket"))
-    ends = cut(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("first"), F.max("node").alias("last")).filter("n > 1"), "buckets")
-    shared = cut(join_hot(banded, ends, "bucket"), "shared")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+    ends = cut(banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("band").alias("band"), F.min("node").alias("first"), F.max("node").alias("last")).filter("n > 1"), "buckets")
+    shared = cut(join_hot(banded.drop("band"), ends, "bucket"), "shared")
     hub = F.explode(F.array_distinct(F.array("first", "last")))
     star = cut(shared.select(F.col("node").alias("a"), hub.alias("b")).filter("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), "a", "b").groupBy("x", "y").agg(F.min("a").alias("a"), F.max("b").alias("b")).filter("a <> b").select("a", "b"), "star")
     # what step 2 and 3 look at: the texts that share a bucket
     candidates = shared.select("node").distinct()
-    texts = cut(nodes.select("node", "text", "sketch").hint("merge").join(candidates, "node", "left_semi"), "candidates")
+    texts = cut(nodes.select("node", "text", "sketch", "shingles").hint("merge").join(candidates, "node", "left_semi"), "candidates")
     links = verified(star, texts, words, least)
     labels = components(links)
     discard(star, links)
     bar = least - DEVIATIONS * float(np.sqrt(least * (1 - least) / size))
     for low, likeliest in ((least, True), (bar, False)):
         open_ = open_rows(shared, labels)
-        likely = cut(compare_outside(open_, texts.select("node", "sketch"), size, low, likeliest), "outside")
+        likely = cut(compare_outside(open_, texts.select("node", "sketch", "shingles"), bands, rows, size, low, least, likeliest), "outside")
         more = verified(likely, texts, words, least)
         if not more.isEmpty():
             labels = relabelled(labels, more)
