@@ -17,12 +17,23 @@ def issue(required: Column, state: Column, watermark: Column, lag: Column, end_m
     return F.concat(F.when(required, "required_").otherwise("optional_"), wrong)
 
 
+#: Most rows of a list of policies, which people write: it is broadcast.
+POLICIES = 10_000
+
+
+def policy_list(policies: DataFrame) -> DataFrame:
+    """policies, to be broadcast; more than POLICIES rows are an error."""
+    if policies.limit(POLICIES + 1).count() > POLICIES:
+        raise ValueError(f"more than {POLICIES} policies")
+    return F.broadcast(policies)
+
+
 def issues(windows: DataFrame, policies: DataFrame, observations: DataFrame) -> DataFrame:
     """(session, seq, ord, capability, required, issue, watermark_ms, lag_ms): each window and enabled policy, with or without one.
 
-    Policies are a list of capabilities that people wrote (broadcast). A missing observation never drops its row.
+    Policies are a list of capabilities that people wrote (broadcast, with a checked size). A missing observation never drops its row.
     """
-    wanted = windows.select("session", "seq", "end_ms").join(F.broadcast(policies.filter("enabled")))
+    wanted = windows.select("session", "seq", "end_ms").join(policy_list(policies.filter("enabled")))
     seen = observations.select("session", "seq", "capability", "state", "watermark_ms", "lag_ms", F.lit(True).alias("__there"))
     both = wanted.join(seen, ["session", "seq", "capability"], "left")
     found = issue(F.col("required"), F.col("state"), F.col("watermark_ms"), F.col("lag_ms"), F.col("end_ms"), F.col("max_lag"), F.coalesce("__there", F.lit(False)))
@@ -31,7 +42,7 @@ def issues(windows: DataFrame, policies: DataFrame, observations: DataFrame) ->
 
 def invalid(policies: DataFrame, observations: DataFrame) -> DataFrame:
     """(session, seq) of windows with an observation of an unknown capability, or two of one."""
-    known = F.broadcast(policies.select("capability", F.lit(True).alias("__known")))
+    known = policy_list(policies.select("capability", F.lit(True).alias("__known")))
     counted = observations.groupBy("session", "seq", "capability").agg(F.count("*").alias("n")).join(known, "capability", "left")
     return counted.filter("n > 1 or __known is null").select("session", "seq").distinct()
 

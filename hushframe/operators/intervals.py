@@ -9,16 +9,35 @@ from pyspark.sql import functions as F
 def overlap_join(left: DataFrame, right: DataFrame, key: str, *, bucket: int, left_span: tuple[str, str], right_span: tuple[str, str], keep: list[str] | None = None) -> DataFrame:
     """Pairs of left and right rows of one key whose intervals overlap; both sides' columns but for the key must differ.
 
-    Each row goes to the buckets of `bucket` time units that it touches, and a pair counts in the first bucket that both touch, so
-    there is an equi-join and no pair twice. An interval without length overlaps nothing. With keep, the
-    columns that tell left rows apart, left rows without a pair stay.
+    An interval's level says by how many doublings of `bucket` time units a bucket is as long as the interval, so that it touches two
+    buckets of its level at most, however long it is. The longer one of a pair lies in the buckets of its level, the other one looks
+    there: equi-joins, in which a pair counts in the first bucket that both touch, so no pair comes twice. Levels are few (64 at
+    most), and found first. An interval without length overlaps nothing. With keep, the columns that tell left rows apart, left rows
+    without a pair stay.
     """
-    ls, le, rs, re = *left_span, *right_span
-    touched = lambda s, e: F.sequence(F.floor(F.col(s) / bucket), F.floor((F.greatest(F.col(e) - 1, F.col(s))) / bucket))
-    first = F.greatest(F.floor(F.col(ls) / bucket), F.floor(F.col(rs) / bucket))
-    a = left.filter(F.col(le) > F.col(ls)).withColumn("__bucket", F.explode(touched(ls, le)))
-    b = right.filter(F.col(re) > F.col(rs)).withColumn("__bucket", F.explode(touched(rs, re)))
-    pairs = a.join(b, [key, "__bucket"]).filter((F.col(le) > F.col(rs)) & (F.col(ls) < F.col(re)) & (F.col("__bucket") == first)).drop("__bucket")
+    sides = []
+    for df, (begin, end) in ((left, left_span), (right, right_span)):
+        level = F.greatest(F.lit(0), F.ceil(F.log2((F.col(end) - F.col(begin)) / F.lit(bucket))).cast("int"))
+        own = df.filter(F.col(end) > F.col(begin)).withColumn("__level", level)
+        sides.append((own, begin, end, sorted(r[0] for r in own.select("__level").distinct().collect())))
+    (a, ls, le, left_levels), (b, rs, re, right_levels) = sides
+    size = (F.lit(bucket) * F.pow(F.lit(2.0), F.col("__at"))).cast("long")
+    touched = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / size), F.floor((F.col(e) - 1) / size)))
+
+    def lying(df: DataFrame, s: str, e: str) -> DataFrame:
+        return df.withColumn("__at", F.col("__level")).withColumn("__bucket", touched(s, e)).drop("__level")
+
+    def looking(df: DataFrame, s: str, e: str, levels: list[int], equal: bool) -> DataFrame:
+        at = F.filter(F.array(*map(F.lit, levels)), lambda x: x >= F.col("__level") if equal else x > F.col("__level"))
+        return df.withColumn("__at", F.explode(at)).withColumn("__bucket", touched(s, e)).drop("__level")
+
+    first = F.greatest(F.floor(F.col(ls) / size), F.floor(F.col(rs) / size))
+    meet = lambda x, y: x.join(y, [key, "__at", "__bucket"]).filter((F.col(le) > F.col(rs)) & (F.col(ls) < F.col(re)) & (F.col("__bucket") == first)).drop("__at", "__bucket")
+    pairs = a.drop("__level").join(b.drop("__level").limit(0), key)
+    if right_levels:
+        pairs = meet(looking(a, ls, le, right_levels, True), lying(b, rs, re))
+        if any(x > right_levels[0] for x in left_levels):
+            pairs = pairs.unionByName(meet(lying(a, ls, le), looking(b, rs, re, left_levels, False)))
     if keep is None:
         return pairs
     found = pairs.select(*keep, *[c for c in right.columns if c != key])

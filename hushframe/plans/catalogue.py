@@ -5,7 +5,6 @@ Durations are hours where the operators' defaults are milliseconds, as the event
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -490,10 +489,8 @@ def integration_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly counts as a stream that takes all there is and stops."""
     events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    name = f"event_windows_{uuid.uuid4().hex}"
     counted = twins.windowed_counts(events).select((F.unix_millis("window_start")).alias("window_ms"), "event_type", "n", F.round("total", 6).alias("total"))
-    counted.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    return twins.drained(counted, "event-windows")
 
 
 # --- evaluation

@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hushframe.operators.cross_modal import Synchroniser
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; a local session without it gets one of its own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: a folder that driver and executors share is needed")
+        found = tempfile.mkdtemp(prefix="hushframe-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """A stream run until it has taken all there is: its complete result, as a table. State and result are in the shared folder, so
+    a lost executor costs no more than its tasks."""
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/hushframe-{name}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/result")
+
+    stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").foreachBatch(keep).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/result")
+
+
 def windowed_counts(events: DataFrame, *, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """(window_start, event_type, n, total) of events (ts, event_type, value), tumbling, with late rows up to `late`."""
     own = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
