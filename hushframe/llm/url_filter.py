@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import cut
+from hushframe.llm.common import cut, join_hot
 
 ORDER = 4
 BEFORE, AFTER = "\x02", "\x03"
@@ -72,14 +72,14 @@ def judge(pages: DataFrame, *, url: str = "url", rules: tuple[tuple[str, str, st
     """pages with host, path, rule (of the rule that decides, else null), score and verdict (allow or block).
 
     Columns of those names are replaced, others stay. score is the calibrated probability of allow by the models, for every row. A
-    null URL or one without :// has an empty host and path. Equal hosts and paths are learnt from and judged once, so that a URL
-    that many pages share is no hot key. Without labels of both kinds the midpoint is 0, and a score of the midpoint is allowed.
+    null URL or one without :// has an empty host and path. Equal hosts and paths are learnt from and judged once; the verdict of a URL
+    that many pages share is broadcast to them, so that it is no hot key. Without labels of both kinds the midpoint is 0, and a score of the midpoint is allowed.
     """
     host, path = host_and_path(F.col(url))
-    pages = pages.drop("host", "path", "rule", "score", "verdict").withColumns({"host": host, "path": path})
+    pages = pages.drop("host", "path", "rule", "score", "verdict", "__pages", "__hot").withColumns({"host": host, "path": path})
     rule, ruled = by_rules(F.col("host"), F.col("path"), rules)
     held = F.substring(F.md5(F.concat("host", F.lit("\n"), "path")), 1, 1) < "3"
-    sites = pages.select("host", "path").distinct().withColumns({"ruled": ruled, "held": held})
+    sites = pages.groupBy("host", "path").agg(F.count("*").alias("n")).withColumns({"ruled": ruled, "held": held})
     sites = cut(sites.withColumn("site", F.monotonically_increasing_id()), "sites")
     text = F.concat(F.lit(BEFORE * order), "host", "path", F.lit(AFTER))
     places = F.sequence(F.lit(1), F.length(F.concat("host", "path")) + 1)
@@ -98,5 +98,5 @@ def judge(pages: DataFrame, *, url: str = "url", rules: tuple[tuple[str, str, st
         middle, slope = (fit["a"] + fit["b"]) / 2, max(0.0, fit["a"] - fit["b"]) / max(1e-9, (fit["va"] + fit["vb"]) / 2)
     verdict = F.coalesce("ruled", F.when(F.col("x") >= middle, "allow").otherwise("block"))
     score = 1 / (1 + F.exp(-F.lit(slope) * (F.col("x") - middle)))
-    judged = scored.select("host", "path", score.alias("score"), verdict.alias("verdict"))
-    return pages.join(judged, ["host", "path"]).withColumn("rule", rule)
+    judged = scored.select("host", "path", F.col("n").alias("__pages"), score.alias("score"), verdict.alias("verdict"))
+    return join_hot(pages, judged, ["host", "path"], "__pages").drop("__pages").withColumn("rule", rule)
