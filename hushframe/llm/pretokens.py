@@ -15,8 +15,9 @@ import numpy as np
 
 #: White space and control characters on which Python and the library may differ, and the beginning of special tokens' strings.
 UNUSUAL = (*"\x1c\x1d\x1e\x1f\x85\xa0 ᠎    　﻿", *map(chr, range(0x2000, 0x2010)), "<|")
-#: Entries of a worker's cache; a full cache starts anew, which costs time and no result.
-CACHE_ENTRIES = 700_000
+#: Entries of a worker's cache, and characters of the longest pre-token in it; a full cache starts anew, and longer ones are encoded
+#: each time, which costs time and no result.
+CACHE_ENTRIES, CACHE_LONGEST = 700_000, 128
 
 
 def load(path: str):
@@ -54,7 +55,7 @@ class Encoder:
                 if len(self.cache) + len(missing) > CACHE_ENTRIES:
                     self.cache.clear()
                 fresh = self.encode(sorted(missing))
-                self.cache.update(fresh)
+                self.cache.update({k: v for k, v in fresh.items() if len(k) <= CACHE_LONGEST})
                 for k in at:
                     if found[k] is None:
                         found[k] = fresh[pretokens[k]]
@@ -148,7 +149,9 @@ class ByteIds(Encoder):
         key = "\n" + pretoken  # no pre-token has a line break
         found = self.cache.get(key)
         if found is None:
-            found = self.cache[key] = self.whole(pretoken)
+            found = self.whole(pretoken)
+            if len(pretoken) <= CACHE_LONGEST:
+                self.cache[key] = found
         return found
 
 

@@ -1,4 +1,8 @@
-"""Operator 6, token counts: a broadcast table of frequent pre-token lengths, worker caches behind it, no pre-token shuffle."""
+"""Operator 6, token counts: a broadcast table of frequent pre-token lengths, worker caches behind it, no pre-token shuffle.
+
+The table's pre-tokens are the most frequent ones of all documents: each task counts its own in bounded memory, and only the tasks' lists
+of the most frequent ones are put together.
+"""
 
 from __future__ import annotations
 
@@ -12,32 +16,30 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.pretokens import WordLengths, worker
 
-#: Entries of the broadcast table (a few MB at most, whatever the input), and documents looked at to choose them.
-FREQUENT = 1 << 16
-LOOKED_AT = 4000
+#: Entries of the broadcast table (a few MB at most, whatever the input), and of a task's list.
+FREQUENT, OWN = 1 << 16, 1 << 13
+#: Characters of the longest pre-token that is counted or cached; longer ones are encoded each time.
+LONGEST = 128
 
 
-def frequent_lengths(docs: DataFrame, path: str, text: str = "text", entries: int = FREQUENT, looked_at: int = LOOKED_AT) -> dict[str, int]:
-    """Lengths in tokens of the pre-tokens that are frequent in about looked_at random documents.
+def frequent_lengths(docs: DataFrame, path: str, text: str = "text", entries: int = FREQUENT, own_entries: int = OWN) -> dict[str, int]:
+    """Lengths in tokens of the pre-tokens that are frequent in docs.
 
     It decides which pre-tokens skip the workers' caches, so it changes the speed and never a count.
     """
-    total = docs.count()
-    if not total:
-        return {}
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, counts = worker(WordLengths, path), Counter()
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 counts.update(own.pretokens(value or "") or ())
-            if len(counts) > 8 * entries:
-                counts = Counter(dict(counts.most_common(2 * entries)))
-        kept = counts.most_common(entries)
+                if len(counts) > 8 * entries:
+                    counts = Counter(dict(counts.most_common(2 * entries)))
+        kept = [x for x in counts.most_common(own_entries) if len(x[0]) <= LONGEST]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["pretoken", "n"])
 
-    looked = docs.select(text).sample(min(1.0, looked_at / total), seed=6).mapInArrow(top, "pretoken string, n long")
-    rows = looked.groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(entries).select("pretoken").collect()
+    found = docs.select(text).mapInArrow(top, "pretoken string, n long")
+    rows = found.groupBy("pretoken").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pretoken").limit(entries).select("pretoken").collect()
     return worker(WordLengths, path).encode([r[0] for r in rows]) if rows else {}
 
 

@@ -11,15 +11,26 @@ from tests_llm_words import words
 import pyarrow as pa
 
 
-def brute_probability(training, text, order):
-    """Prediction by partial matching by definition, with sets of excluded symbols."""
+def stream(text):
+    return (b" ".join(w.encode() for w in words(text)) + b"\n").replace(b"\x00", b"\xff")
+
+
+def brute_counts(training, order):
     seen = {}
-    stream = lambda t: (b" ".join(w.encode() for w in words(t)) + b"\n").replace(b"\x00", b"\xff")
     for t in training:
         s = b"\n" * order + stream(t)
         for i in range(order, len(s)):
             for k in range(order + 1):
                 seen.setdefault(s[i - k : i], Counter())[s[i]] += 1
+    return seen
+
+
+def brute_probability(training, text, order):
+    return probability(brute_counts(training, order), text, order)
+
+
+def probability(seen, text, order):
+    """Prediction by partial matching by definition, with sets of excluded symbols."""
     total = 0.0
     s = b"\n" * order + stream(text)
     for i in range(order, len(s)):
