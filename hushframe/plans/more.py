@@ -356,7 +356,7 @@ def spoken_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("timeline_words", """WITH w AS (SELECT stream, seq, event_id, seq * 1000 AS a, seq * 1000 + 900 AS b FROM v_frames),
 o AS (SELECT stream, seq, 0 AS pos, greatest(a, a + event_id % 700 - 100) AS s, least(b, a + event_id % 1300) AS e, event_id % 6 = 0 AS blank FROM w UNION ALL SELECT stream, seq, 1, greatest(a, a + 500), least(b, a + 400 + event_id % 1000), false FROM w WHERE event_id % 3 = 0),
 k AS (SELECT * FROM o WHERE e > s AND NOT blank)
-SELECT stream, seq AS "window", pos, s AS start_ms, e AS end_ms, 'word' AS word FROM k UNION ALL SELECT stream, seq, 0, a, b, 'whole' FROM w WHERE event_id % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM k WHERE k.stream = w.stream AND k.seq = w.seq)""")
+SELECT stream, seq AS "window", cast(pos AS BIGINT) AS pos, s AS start_ms, e AS end_ms, 'word' AS word FROM k UNION ALL SELECT stream, seq, 0, a, b, 'whole' FROM w WHERE event_id % 4 <> 0 AND NOT EXISTS (SELECT 1 FROM k WHERE k.stream = w.stream AND k.seq = w.seq)""")
 def timeline_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = c("event_id")
     rows = view(spark, sf_dir, "v_frames").withColumnRenamed("seq", "window")
