@@ -328,3 +328,9 @@ def outcome(calls: DataFrame) -> DataFrame:
         .when(c("transcription") != "ok", "unsafe_transcription_failure").when(c("muted") != "ok", "unsafe_input").otherwise("ok")
     )
     return calls.withColumn("status", status).withColumn("safe", F.col("status").isin("ok", "no_speech") & (c("chunks") > 0))
+
+
+def normalise_chunk(chunk_rows: DataFrame, *, rate: int = 16_000) -> DataFrame:
+    """chunks (rate, channels, samples) as mono at one rate: the mean of the channels, then resampled; the form is float32 from then on."""
+    mono = chunk_rows.withColumn("samples", downmix(F.col("samples"), F.col("channels")))
+    return mono.withColumn("samples", resample(F.col("samples"), F.col("rate"), rate)).withColumns({"rate": F.lit(rate), "channels": F.lit(1), "form": F.lit("float32")})

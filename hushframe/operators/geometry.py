@@ -175,3 +175,11 @@ def face_outputs(raw: DataFrame) -> DataFrame:
     bad = F.exists("__f.embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     corners = {c: F.get("__f.bbox", F.lit(k)) for k, c in enumerate(("x1", "y1", "x2", "y2"))}
     return each.withColumns({**corners, "confidence": F.col("__f.det_score"), "quality": F.coalesce("__f.quality", "__f.det_score"), "embedding": F.when(~bad, F.col("__f.embedding"))}).drop("__f")
+
+
+def region_problem(x: Column, y: Column, w: Column, h: Column, confidence: Column, timestamp_ms: Column, kind: Column) -> Column:
+    """The first rule that a normalised region breaks, or null: a known kind, a time of 0 or more, finite numbers between 0 and 1, an area
+    inside the frame."""
+    outside = lambda c: ~F.coalesce(~F.isnan(c) & (c >= 0) & (c <= 1), F.lit(False))
+    wrong = F.when(~F.coalesce(kind.isin(*KINDS), F.lit(False)), "kind").when(F.coalesce(timestamp_ms < 0, F.lit(True)), "timestamp").when(outside(confidence), "confidence")
+    return wrong.when(outside(x) | outside(y) | outside(w) | outside(h), "interval").when((w <= 0) | (h <= 0), "no_area").when((x + w > 1 + 1e-9) | (y + h > 1 + 1e-9), "outside_frame")

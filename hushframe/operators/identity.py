@@ -146,3 +146,12 @@ def face_model(settings: DataFrame, manifests: DataFrame) -> DataFrame:
     fits = c("resolved").isNotNull() & problem.isNull()
     out = {"problem": problem, "name": F.when(fits, name).otherwise(c("default_name")), "provider": F.when(fits, provider).otherwise(c("default_provider"))}
     return found.withColumns(out).drop("__faces", "__id", "__type", "__format", "__name", "__provider")
+
+
+def detector_outcomes(calls: DataFrame, *, tracker: bool = True) -> DataFrame:
+    """calls (stream, seq, has_image, raised) of the face detector with ok, reason and detector_reason, its last known one: a frame without an
+    image and a call that raised are errors, an unavailable model is its own reason. Faces are only looked for with a tracker."""
+    if not tracker:
+        raise ValueError("face detection needs a tracker")
+    reason = F.when(~F.col("has_image"), "detector_error").when(F.col("raised") == "unavailable", "detector_unavailable").when(F.col("raised").isNotNull(), "detector_error")
+    return reasons_over_time(calls.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull()))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -88,3 +88,32 @@ def letterbox_image(image: np.ndarray, size: int, grey: int = 114) -> np.ndarray
 def frame_times(frames: DataFrame, fps: float = 30.0) -> DataFrame:
     """frames (seq) with ts_ms at a fixed rate, rounded half to even."""
     return frames.withColumn("ts_ms", F.bround(F.col("seq") * 1000.0 / fps).cast("long"))
+
+
+def solid(width: Column, height: Column, channels: Column, colour: tuple[int, ...]) -> Column:
+    """The payload of a frame of one colour, as colour_for gives it."""
+    one = F.lit("")
+    for n in (1, 3, 4):
+        one = F.when(channels == n, bytes(colour_for(n, colour)).hex()).otherwise(one)
+    return F.unhex(F.repeat(one, (width * height).cast("int")))
+
+
+def pixel(payload: Column, x: Column, y: Column, width: Column, channels: Column) -> Column:
+    """The bytes of one pixel."""
+    return F.substring(payload, ((y * width + x) * channels).cast("int") + 1, channels.cast("int"))
+
+
+def letterbox_frames(frames: DataFrame, size: int, grey: int = 114) -> DataFrame:
+    """frames (payload, width, height, channels) with model_input: the payload of letterbox_image; null where the payload doesn't fit."""
+    at = [frames.columns.index(c) for c in ("payload", "width", "height", "channels")]
+    own = frames.drop("model_input")
+
+    def boxed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for raw, w, h, n in zip(*(batch.column(k).to_pylist() for k in at)):
+                fits = raw is not None and w and h and n and len(raw) == w * h * n
+                out.append(letterbox_image(np.frombuffer(raw, np.uint8).reshape(h, w, n), size, grey).tobytes() if fits else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "model_input"])
+
+    return own.mapInArrow(boxed, own.limit(0).schema.add("model_input", "binary"))

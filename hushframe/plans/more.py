@@ -572,5 +572,51 @@ def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return second.select("id", c("before").eqNullSafe(c("manifest")).alias("same"))
 
 
+@query("region_rules", """SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 'kind' WHEN event_id % 11 = 0 THEN 'timestamp' WHEN event_id % 7 = 0 THEN 'confidence' WHEN event_id % 5 = 0 THEN 'interval' WHEN event_id % 3 = 0 THEN 'no_area' WHEN event_id % 2 = 0 THEN 'outside_frame' END AS problem FROM events""")
+def region_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("event_id")
+    kind = F.when(k % 13 == 0, F.lit(None)).otherwise("face")
+    x = F.when(k % 5 == 0, F.lit(float("nan"))).when(k % 2 == 0, F.lit(0.9)).otherwise(F.lit(0.1))
+    w = F.when(k % 3 == 0, F.lit(0.0)).otherwise(F.lit(0.2))
+    problem = geometry.region_problem(x, F.lit(0.0), w, F.lit(0.5), F.when(k % 7 == 0, F.lit(1.5)).otherwise(F.lit(0.5)), F.when(k % 11 == 0, -1).otherwise(0), kind)
+    return table(spark, sf_dir, "events").select(k, problem.alias("problem"))
+
+
+@query("solid_pixels", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN '3c' WHEN 1 THEN '0a505a' ELSE '0a505aff' END AS pixel, cast(12 * CASE p_partkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 4 END AS INT) AS n FROM part")
+def solid_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("p_partkey")
+    n = F.when(k % 3 == 0, 1).when(k % 3 == 1, 3).otherwise(4)
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), n.alias("n"), raster.solid(F.lit(4), F.lit(3), n, (10, 80, 90)).alias("payload"))
+    return rows.select("id", F.lower(F.hex(raster.pixel(c("payload"), c("id") % 4, c("id") % 3, F.lit(4), c("n")))).alias("pixel"), F.octet_length("payload").alias("n"))
+
+
+@query("letterbox_images", """WITH fr AS (SELECT frame, sha256(cast(frame AS VARCHAR)) AS h FROM (SELECT DISTINCT frame FROM v_regions)),
+px AS (SELECT frame, h, i, i // 8 AS y, i % 8 AS x FROM fr, range(64) g(i))
+SELECT frame, sha256(unhex(string_agg(CASE WHEN y BETWEEN 1 AND 6 THEN substr(h, cast(2 * (((y - 1) * 2 * 16 + x * 2) % 32) AS INT) + 1, 2) ELSE '72' END, '' ORDER BY i))) AS input_sha256 FROM px GROUP BY frame""")
+def letterbox_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payload = F.unhex(F.repeat(F.sha2(c("frame").cast("string"), 256), 6))
+    frames = view(spark, sf_dir, "v_regions").select("frame").distinct().select("frame", payload.alias("payload"), F.lit(16).alias("width"), F.lit(12).alias("height"), F.lit(1).alias("channels"))
+    return raster.letterbox_frames(frames, 8).select("frame", F.sha2("model_input", 256).alias("input_sha256"))
+
+
+@query("normalised_chunks", """WITH s AS (SELECT stream, seq, event_id, [event_id % 10 / 10.0::DOUBLE, event_id % 7 / 10.0::DOUBLE, event_id % 3 / 10.0::DOUBLE, event_id % 9 / 10.0::DOUBLE] AS s FROM v_frames),
+m AS (SELECT stream, seq, (s[1] + s[2]) / 2 AS a, (s[3] + s[4]) / 2 AS b FROM s)
+SELECT stream, seq, 4 AS n, round(a, 9) AS first, round(a + (b - a) * 0.5, 9) AS second, round(b, 9) AS last FROM m""")
+def normalised_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("event_id")
+    samples = F.array(k % 10 / 10.0, k % 7 / 10.0, k % 3 / 10.0, k % 9 / 10.0)
+    rows = view(spark, sf_dir, "v_frames").select("stream", "seq", F.lit(8000).alias("rate"), F.lit(2).alias("channels"), samples.alias("samples"))
+    out = audio.normalise_chunk(rows)
+    return out.select("stream", "seq", F.size("samples").alias("n"), F.round(c("samples")[0], 9).alias("first"), F.round(c("samples")[1], 9).alias("second"), F.round(F.element_at("samples", -1), 9).alias("last"))
+
+
+@query("face_detector_reasons", """WITH d AS (SELECT stream, seq, CASE WHEN event_id % 9 = 0 THEN 'detector_error' WHEN event_id % 4 = 1 THEN 'detector_unavailable' WHEN event_id % 4 = 2 THEN 'detector_error' END AS reason FROM v_frames)
+SELECT stream, seq, reason IS NULL AS ok, reason AS detector_reason FROM d""")
+def face_detector_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = c("event_id")
+    calls = view(spark, sf_dir, "v_frames").select("stream", "seq", (k % 9 != 0).alias("has_image"), F.when(k % 4 == 1, "unavailable").when(k % 4 == 2, "value").alias("raised"))
+    return identity.detector_outcomes(calls).select("stream", "seq", "ok", "detector_reason")
+
+
 #: The queries of this module.
 NAMES = tuple(n for n in QUERIES if n not in _BEFORE)
