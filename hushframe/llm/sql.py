@@ -94,4 +94,34 @@ SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {near("f
 """
 
 
-ORACLE_SQL = {"op3_url_filter": url_sql(), "op5_document_fingerprints": fingerprint_sql(), "op7_chat_formatting": CHAT, "chat_mixed_layouts": MIXED}
+#: Classes of near copies by all pairs of texts that share a run of words, and all that links lead to.
+NEAR = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+t AS (SELECT text, min(r) AS node FROM d GROUP BY text),
+w AS (SELECT node, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM t),
+s AS (SELECT node, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS run FROM w),
+c AS (SELECT node, run, count(*) AS n FROM s GROUP BY ALL),
+z AS (SELECT node, sum(n) AS size FROM c GROUP BY node),
+p AS (SELECT a.node AS a, b.node AS b, sum(least(a.n, b.n)) AS common FROM c a JOIN c b ON a.run = b.run AND a.node < b.node GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN z x ON x.node = a JOIN z y ON y.node = b WHERE common >= 0.8 * (x.size + y.size - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT node AS a, node AS b FROM t UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b),
+label AS (SELECT a AS node, min(b) AS label FROM reach GROUP BY a),
+o AS (SELECT doc_id, label FROM d JOIN t USING (text) JOIN label USING (node))
+SELECT doc_id, min(doc_id) OVER (PARTITION BY label) AS class_id, count(*) OVER (PARTITION BY label) AS class_docs, row_number() OVER (PARTITION BY label ORDER BY doc_id NULLS LAST) = 1 AS kept FROM o
+"""
+
+#: Leaked items by all places at which a document and an item have a word in common.
+LEAKS = r"""
+WITH dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents)),
+it AS (SELECT item_id, w, len(w) AS n, least(15, len(w)) AS win, least(15, len(w)) - CASE WHEN len(w) >= 15 THEN 3 WHEN len(w) >= 12 THEN 2 WHEN len(w) >= 9 THEN 1 ELSE 0 END AS need
+  FROM (SELECT item_id, regexp_extract_all(lower(text), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS ip FROM it),
+g AS (SELECT doc_id, item_id, pos - ip AS shift, list(ip) AS ips FROM dw JOIN iw USING (word) GROUP BY ALL HAVING count(*) >= 1),
+x AS (SELECT doc_id, item_id, shift, ips, win, need, unnest(range(0, n - win + 1)) AS p FROM g JOIN it USING (item_id) WHERE len(ips) >= need),
+y AS (SELECT doc_id, item_id, win, need, len(list_filter(ips, lambda i: i >= p AND i < p + win)) AS same, shift + p AS word FROM x)
+SELECT doc_id, item_id, cast(max(same) AS INT) AS n_equal, cast(any_value(win) AS INT) AS n_window, first(word ORDER BY same DESC, word) AS word FROM y WHERE same >= need GROUP BY doc_id, item_id
+"""
+
+
+ORACLE_SQL = {"op4_near_duplicates": NEAR, "op8_decontamination": LEAKS, "op3_url_filter": url_sql(), "op5_document_fingerprints": fingerprint_sql(), "op7_chat_formatting": CHAT, "chat_mixed_layouts": MIXED}
