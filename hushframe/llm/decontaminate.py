@@ -29,7 +29,7 @@ MASKS = tuple((0, 1, 2, gap + 3, gap + 4, gap + 5) for gap in (0, 3, 6, 9))
 BEFORE, AHEAD = WINDOW - 6, WINDOW
 SPAN = BEFORE + AHEAD
 #: Most bits of the bitmap, as a power of two, and bits for each seed of a smaller benchmark.
-BITS, BITS_A_SEED = 27, 64
+BITS, BITS_A_SEED = 27, 2048
 _WORDS = byte_map(bytes(b for b in range(128) if not chr(b).isalnum()))
 #: Words that are no words: outside an item, outside a document.
 _NO_ITEM, _NO_DOCUMENT = U64(0), U64(1)
