@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushframe.llm import decontaminate, near_dup, packing, quality, repeats
-from hushframe.llm.common import cut, table
+from hushframe.llm.common import cut, discard, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bytes of a repeated string: about 40 words, so that passages of over 50 words are found wherever their words are short.
@@ -70,10 +70,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written before the next one reads it."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, f"stage-{k}")
-    return docs
+    """All stages over documents, each written before the next one reads it; what a stage read goes once it is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = cut(stage(spark, docs, sf_dir), f"stage-{k}")
+        if before is not None:
+            discard(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
