@@ -83,6 +83,21 @@ def test_near_copies_of_null_and_repeated_ids(spark, make):
     assert sorted(rows) == sorted([(-1, base[0]), (-1, base[1]), (-1, base[2]), (7, base[3]), (7, base[4]), (3, base[5] + " near"), (7, "")])
 
 
+def test_empty_tables_and_null_columns(spark, tmp_path):
+    """Every stage keeps what there is: no rows, rows of nothing but nulls, repeated rows, and no labels or benchmark."""
+    kinds = {"documents": "doc_id long, text string, lang string, source string, n_chars long", "labels": "doc_id long, quality int, toxic int", "benchmark": "item_id long, text string"}
+    for name, kind in kinds.items():
+        spark.createDataFrame([], kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    nulls = [(None,) * 5, (None,) * 5, (3, "some words", None, None, None), (3, "some words", "en", None, None), (3, "other words", None, None, None)]
+    for rows, want in (([], 0), (nulls, 3)):
+        docs = spark.createDataFrame(rows, kinds["documents"])
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{want}-stage-{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{want}-stage-{k}")
+        assert docs.count() == want
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_run_applies_all_stages(spark, planted):
     path, _, _ = planted
     assert corpus_pipeline.run(spark, path).select("doc_id").distinct().count() > 80
