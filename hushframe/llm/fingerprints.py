@@ -1,13 +1,16 @@
 """Operator 5, document fingerprints: I-Match with randomised lexicons. DataFrame functions only.
 
-The lexicon is the terms within a band of inverse document frequency. Each of COMPONENTS random subsets of it gives one hash: of the
-sorted distinct terms that the text has in common with the subset. Subsets differ in size, from the whole band to 1/64 of it, so
-that the share of equal hashes falls gradually with the share of changed terms. A subset that a text has no term of gives no hash. A
-text without any term of the lexicon is hashed in the same way over all its own terms.
+The lexicon is the terms within a band of inverse document frequency. Each of COMPONENTS subsets of it gives one hash: of the distinct
+terms that the text has in common with the subset, sorted (terms stand as 60 bits of their MD5, and are sorted as such). Besides the whole
+band there are SETS families of three random subsets, 1/4, 1/16 and 1/64 of it, each within the one before it, so that the share
+of equal hashes falls gradually with the share of changed terms. A subset that a text has no term of gives no hash. A text
+without any term of the lexicon is hashed in the same way over all its own terms.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,9 +19,11 @@ from hushframe.llm.common import cut
 #: The band: terms in at least 1 of RAREST and at most 1 of COMMONEST documents (and in two at least). The upper bound is above the
 #: share of any one group of copies (a third), so that what such a group has in common stays in the lexicon.
 RAREST, COMMONEST = 2048, 2
-#: Subsets: one of the whole band, then 10 each of 1/4, 1/16 and 1/64 of it; hex digits of each one's hash.
-COMPONENTS = 31
-DIGITS = 16
+#: Families of subsets: a term is in those of family k whose bits of its hash, from bit 6k on, are 0: two bits, four, and six.
+SETS = 10
+COMPONENTS = 1 + 3 * SETS
+#: Hex digits of a subset's hash, and of a term's.
+DIGITS, TERM_DIGITS = 16, 15
 NONE = "-" * DIGITS
 #: Documents in a block at least, and blocks at most: they bound the driver's share, and decide nothing but which task does what.
 BLOCK, BLOCKS = 512, 1 << 15
@@ -34,43 +39,39 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), SPACE, -1), lambda t: t != ""))
 
 
-def subset_mask(term: Column) -> Column:
-    """Bit k is set if component k's lexicon has the term, by digits of the term's SHA-256; bit 0 always."""
-    digest = F.sha2(term, 256)
-    bits = F.lit(1).cast("long")
-    for k in range(1, COMPONENTS):
-        # of its own hex digit: in 0-3 (1/4), 0 (1/16); or of its own two digits: 0 and 0-3 (1/64)
-        scale, at = (k - 1) // 10, k if k <= 20 else 2 * k - 21
-        digit, next_ = F.substring(digest, at, 1), F.substring(digest, at + 1, 1)
-        inside = digit < "4" if scale == 0 else digit == "0" if scale == 1 else (digit == "0") & (next_ < "4")
-        bits = bits + F.when(inside, F.lit(1 << k)).otherwise(F.lit(0)).cast("long")
-    return bits
+def term_hash(term: Column) -> Column:
+    """60 bits of the term's MD5."""
+    return F.conv(F.substring(F.md5(term), 1, TERM_DIGITS), 16, 10).cast("long")
 
 
 def lexicon(docs: DataFrame, text: str, n: int) -> DataFrame:
-    """(term, mask) of the terms within the band, over all n documents."""
+    """(term, hash) of the terms within the band, over all n documents."""
     counts = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     band = (F.col("df") >= 2) & (F.col("df") * RAREST >= n) & (F.col("df") * COMMONEST <= n)
-    return counts.filter(band).select("term", subset_mask(F.col("term")).alias("mask"))
+    return counts.filter(band).select("term", term_hash(F.col("term")).alias("hash"))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often it is used: a lambda over an array of one."""
+    return F.transform(F.array(value), use)[0]
 
 
 def fingerprint(found: Column, own: Column) -> Column:
-    """The components' hashes in a row: of found, an array of (term, mask) of the text's terms in the lexicon, or, if it is empty, of all
-    its terms; of a text without terms, x and the text's digest, so that only equal texts agree."""
-    every = F.transform(terms(own), lambda t: F.struct(t.alias("term"), subset_mask(t).alias("mask")))
-    members = F.array_sort(F.when(F.size(found) > 0, found).otherwise(every))
+    """The subsets' hashes in a row: of found, an array of the hashes of the text's terms in the lexicon, or, if it is empty, of all its
+    terms; of a text without terms, x and the text's digest, so that only equal texts agree."""
+    members = F.array_sort(F.when(F.size(found) > 0, found).otherwise(F.transform(terms(own), term_hash)))
+    print_ = lambda x: F.when(F.size(x) == 0, NONE).otherwise(F.substring(F.md5(x.cast("string")), 1, DIGITS))
+
+    def without(members: Column, bits: int) -> Column:
+        mask = F.lit(bits)
+        return F.filter(members, lambda x: x.bitwiseAND(mask) == 0)
 
-    def one(members: Column) -> Column:
-        parts = []
-        for k in range(COMPONENTS):
-            bit = F.lit(1 << k)
-            inside = members if k == 0 else F.filter(members, lambda m: m["mask"].bitwiseAND(bit) != 0)
-            joined = F.array_join(F.transform(inside, lambda m: m["term"]), "\n")
-            parts.append(F.when(joined == "", NONE).otherwise(F.substring(F.md5(joined), 1, DIGITS)))
-        return F.concat(*parts)
+    def family(members: Column, k: int) -> Column:
+        smaller = lambda q: F.concat(print_(q), bound(without(q, 0b1100 << 6 * k), lambda s: F.concat(print_(s), print_(without(s, 0b110000 << 6 * k)))))
+        return bound(without(members, 0b11 << 6 * k), smaller)
 
-    # a lambda over an array of one, so that the members are put in order once and not in each component
-    return F.when(F.size(members) > 0, F.transform(F.array(members), one)[0]).otherwise(F.concat(F.lit("x"), F.md5(own)))
+    every = lambda x: F.concat(print_(x), *[family(x, k) for k in range(SETS)])
+    return F.when(F.size(members) > 0, bound(members, every)).otherwise(F.concat(F.lit("x"), F.md5(own)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -130,8 +131,8 @@ def fingerprint_edits(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     sided = every.select("block", "place", "behind", "id", F.explode(sides).alias("s")).select("block", "place", "behind", "id", "s.side", "s.own").filter("own is not null")
     # an empty term stands for the text itself, so that one without terms of the lexicon keeps its row, and carries it
     each = sided.select("block", "place", "side", "behind", "id", F.explode(F.array_append(F.transform(terms(F.col("own")), lambda t: F.struct(t.alias("term"), F.lit(None).cast("string").alias("own"))), F.struct(F.lit("").alias("term"), F.col("own").alias("own")))).alias("t"))
-    each = each.select("block", "place", "side", "behind", "id", "t.term", "t.own").join(words, "term", "left").filter("mask is not null or term = ''")
-    found = F.collect_list(F.when(F.col("mask").isNotNull(), F.struct("term", "mask"))).alias("found")
+    each = each.select("block", "place", "side", "behind", "id", "t.term", "t.own").join(words, "term", "left").filter("hash is not null or term = ''")
+    found = F.collect_list("hash").alias("found")
     printed = each.groupBy("block", "place", "side").agg(found, F.max("own").alias("own"), F.first("behind").alias("behind"), F.first("id").alias("id")).withColumn("print", fingerprint(F.col("found"), F.col("own")))
     printed = printed.select("block", "place", "behind", "id", "side", "print", F.when(F.col("side") == 1, F.sha2("own", 256)).alias("sha"), F.length("own").cast("long").alias("chars"))
     of = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))

@@ -63,12 +63,8 @@ SELECT page_id, host, path, {rule} AS rule, verdict FROM parts JOIN judged USING
 def fingerprint_sql() -> str:
     """I-Match over documents and their edited texts."""
     f = fingerprints
-    inside = []
-    for k in range(1, f.COMPONENTS):
-        scale, at = (k - 1) // 10, k if k <= 20 else 2 * k - 21
-        inside.append(f"substr(d, {at}, 1) < '4'" if scale == 0 else f"substr(d, {at}, 1) = '0'" if scale == 1 else f"substr(d, {at}, 1) = '0' AND substr(d, {at + 1}, 1) < '4'")
-    members = ["true", *inside]
-    parts = " || ".join(f"CASE WHEN count(*) FILTER (WHERE m{k}) = 0 THEN '{f.NONE}' ELSE substr(md5(string_agg(term, chr(10) ORDER BY term) FILTER (WHERE m{k})), 1, {f.DIGITS}) END" for k in range(f.COMPONENTS))
+    members = ["true", *(f"h & {bits << 6 * k} = 0" for k in range(f.SETS) for bits in (0b11, 0b1111, 0b111111))]
+    parts = " || ".join(f"CASE WHEN count(*) FILTER (WHERE {m}) = 0 THEN '{f.NONE}' ELSE substr(md5('[' || string_agg(cast(h AS VARCHAR), ', ' ORDER BY h) FILTER (WHERE {m}) || ']'), 1, {f.DIGITS}) END" for m in members)
     terms = "list_distinct(list_filter(regexp_split_to_array(lower({}), '[ \\t\\n\\x0b\\f\\r]+'), lambda t: t <> ''))"
     like = """CASE WHEN {0} = {1} THEN 1.0 WHEN starts_with({0}, 'x') OR starts_with({1}, 'x') THEN 0.0 ELSE
       len(list_filter(range({n}), lambda k: substr({0}, k * {d} + 1, {d}) = substr({1}, k * {d} + 1, {d}) AND substr({0}, k * {d} + 1, {d}) <> '{none}')) / cast(greatest(1,
@@ -82,8 +78,8 @@ texts AS (
   SELECT place, 0 AS side, text AS own FROM follow UNION ALL
   SELECT place, 1, substr(text, 1, length(text) - length(text) // 2) || substr(next_text, 1, length(text) // 2) FROM follow),
 words AS (SELECT place, side, unnest({terms.format('own')}) AS term FROM texts),
-known AS (SELECT term, {", ".join(f"({m}) AS m{k}" for k, m in enumerate(members))}, df >= 2 AND df * {f.RAREST} >= n.n AND df * {f.COMMONEST} <= n.n AS band
-  FROM (SELECT term, sha256(term) AS d, count(*) FILTER (WHERE side = 0) AS df FROM words GROUP BY term), n),
+known AS (SELECT term, cast('0x' || substr(md5(term), 1, {f.TERM_DIGITS}) AS BIGINT) AS h, df >= 2 AND df * {f.RAREST} >= n.n AND df * {f.COMMONEST} <= n.n AS band
+  FROM (SELECT term, count(*) FILTER (WHERE side = 0) AS df FROM words GROUP BY term), n),
 own AS (SELECT *, bool_or(band) OVER (PARTITION BY place, side) AS has FROM words JOIN known USING (term)),
 made AS (SELECT place, side, {parts} AS print FROM own WHERE band OR NOT has GROUP BY place, side),
 prints AS (SELECT t.place, t.side, t.own, coalesce(print, 'x' || md5(own)) AS print FROM texts t LEFT JOIN made USING (place, side)),

@@ -127,14 +127,11 @@ def plain_fingerprint(text, df, n):
     inside = [t for t in terms if df.get(t, 0) >= 2 and df[t] * fingerprints.RAREST >= n and df[t] * fingerprints.COMMONEST <= n] or terms
     if not inside:
         return "x" + hashlib.md5(text.encode()).hexdigest()
-    out = []
+    hashes, out = sorted(int(hashlib.md5(t.encode()).hexdigest()[:15], 16) for t in inside), []
     for k in range(fingerprints.COMPONENTS):
-        at, own = (k if k <= 20 else 2 * k - 21) - 1, []
-        for t in inside:
-            d = hashlib.sha256(t.encode()).hexdigest()
-            if k == 0 or (k <= 10 and d[at] < "4") or (10 < k <= 20 and d[at] == "0") or (k > 20 and d[at] == "0" and d[at + 1] < "4"):
-                own.append(t)
-        out.append(hashlib.md5("\n".join(own).encode()).hexdigest()[:16] if own else fingerprints.NONE)
+        bits = 0 if k == 0 else (3, 15, 63)[(k - 1) % 3] << 6 * ((k - 1) // 3)
+        own = [h for h in hashes if h & bits == 0]
+        out.append(hashlib.md5(str(own).encode()).hexdigest()[:16] if own else fingerprints.NONE)
     return "".join(out)
 
 
