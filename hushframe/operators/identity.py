@@ -25,16 +25,18 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot)))
 
 
-def enroll(samples: DataFrame, key: str, order: str, embedding: str) -> DataFrame:
-    """(key, dim, sample_count, template): the mean of each key's unit vectors at length 1; null for vectors of several sizes."""
-    own = samples.select(F.col(key), F.col(order).alias("__order"), unit(F.col(embedding)).alias("__unit")).filter("__unit is not null")
-    grouped = own.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__order", "__unit"))).alias("all"))
-    vectors = F.transform("all", lambda s: s["__unit"])
-    first = F.get(vectors, F.lit(0))
-    zero = F.transform(first, lambda x: F.lit(0.0))
-    mean = F.transform(F.aggregate(vectors, zero, lambda a, v: F.zip_with(a, v, lambda x, y: x + y)), lambda x: x / F.size("all"))
-    same = F.size(F.array_distinct(F.transform(vectors, lambda v: F.size(v)))) == 1
-    return grouped.select(key, F.when(same, F.size(first)).alias("dim"), F.size("all").alias("sample_count"), F.when(same, unit(mean)).alias("template"))
+def enroll(samples: DataFrame, key: str, embedding: str) -> DataFrame:
+    """(key, dim, sample_count, template): the mean of each key's unit vectors at length 1; null for vectors of several sizes.
+
+    Vectors are summed place by place, map side first, so a key may have any number of them.
+    """
+    own = samples.select(F.col(key), unit(F.col(embedding)).alias("__unit")).filter("__unit is not null")
+    each = own.select(key, F.size("__unit").alias("dim"), F.posexplode("__unit").alias("place", "x"))
+    sums = each.groupBy(key, "place").agg(F.sum("x").alias("x"), F.count("*").alias("n"), F.min("dim").alias("least"), F.max("dim").alias("most"))
+    whole = sums.groupBy(key).agg(F.max("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most"), F.sort_array(F.collect_list(F.struct("place", "x"))).alias("sums"))
+    same = F.col("least") == F.col("most")
+    mean = F.transform("sums", lambda s: s["x"] / F.col("n"))
+    return whole.select(key, F.when(same, F.col("most")).alias("dim"), F.col("n").cast("int").alias("sample_count"), F.when(same, unit(mean)).alias("template"))
 
 
 def triage(samples: DataFrame, *, least_confidence: float = 0.5, least_quality: float = 0.5) -> DataFrame:

@@ -225,7 +225,7 @@ template AS (SELECT list(m / (SELECT sqrt(sum(m * m)) FROM mean) ORDER BY i) AS
 
 def _enrolled(spark: SparkSession, sf_dir: str) -> DataFrame:
     chosen = table(spark, sf_dir, "embeddings").filter("label = 0").withColumn("creator", F.lit(0))
-    return identity.enroll(chosen, "creator", "vec_id", "embedding")
+    return identity.enroll(chosen, "creator", "embedding")
 
 
 @query("embedding_enroll", f"WITH {_TEMPLATE} SELECT cast(len(t) AS INT) AS dim, cast((SELECT count(*) FROM own) AS INT) AS sample_count, round(t[1], 6) AS first_value, round(list_sum(list_transform(t, lambda x: x * x)), 6) AS norm FROM template")

@@ -139,7 +139,7 @@ def sample_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN list_contains(coalesce(reasons, []), 'detector_unavailable') THEN 'detector_unavailable' WHEN list_contains(coalesce(reasons, []), 'detector_error') THEN 'detector_error' ELSE 'enrollment_rejected' END AS reason FROM oc""")
 def enrollment_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     triaged = identity.triage(_samples_of(spark, sf_dir))
-    templates = identity.enroll(triaged.filter("reason is null"), "subject", "sample", "embedding")
+    templates = identity.enroll(triaged.filter("reason is null"), "subject", "embedding")
     found = identity.with_templates(identity.outcome(triaged, "subject", most=12), templates, "subject")
     reason = identity.reason_code(F.transform("rejections", lambda r: r["reason"]))
     return found.select("subject", "samples", "accepted", "status", F.size("rejections").alias("n_rejections"), reason.alias("reason"))
@@ -149,7 +149,7 @@ def enrollment_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 m AS (SELECT label, i, sum(u[i]) / count(*) AS m, count(*) AS n FROM u, range(1, 65) r(i) GROUP BY label, i)
 SELECT label, cast(any_value(n) AS INT) AS sample_count, round(max(m) FILTER (WHERE i = 1) / sqrt(sum(m * m)), 6) AS first_value FROM m GROUP BY label""")
 def templates_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = identity.enroll(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+    found = identity.enroll(table(spark, sf_dir, "embeddings"), "label", "embedding")
     return found.select("label", "sample_count", F.round(c("template")[0], 6).alias("first_value"))
 
 

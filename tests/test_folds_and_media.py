@@ -86,7 +86,7 @@ def test_muting_meets_spans_across_buckets(spark):
 def test_vectors_of_several_sizes_are_no_enrollment(spark):
     rows = [(1, 1, "ok", 1, 0.9, 0.9, [1.0, 0.0], True), (1, 2, "ok", 1, 0.9, 0.9, [1.0], True), (2, 1, "ok", 1, 0.9, 0.9, [1.0], True)]
     triaged = identity.triage(spark.createDataFrame(rows, "key long, sample long, status string, faces int, confidence double, quality double, embedding array<double>, consent boolean"))
-    got = {r["key"]: r for r in identity.with_templates(identity.outcome(triaged, "key"), identity.enroll(triaged, "key", "sample", "embedding"), "key").collect()}
+    got = {r["key"]: r for r in identity.with_templates(identity.outcome(triaged, "key"), identity.enroll(triaged, "key", "embedding"), "key").collect()}
     assert (got[1]["status"], [tuple(x) for x in got[1]["rejections"]]) == ("rejected", [(-1, "incompatible_embeddings")]) and got[2]["status"] == "enrolled"
 
 

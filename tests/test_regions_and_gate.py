@@ -60,7 +60,7 @@ def test_spoken_words(spark):
 
 def test_cosine_bands(spark):
     faces = spark.createDataFrame([(1, [1.0, 0.0], 0.9, 0.9), (2, [0.6, 0.8], 0.9, 0.9), (3, None, 0.9, 0.9), (4, [1.0, 0.0], 0.2, 0.9), (5, [0.0, 1.0], 0.9, 0.9)], "i long, embedding array<double>, confidence double, quality double")
-    template = identity.enroll(spark.createDataFrame([(0, 1, [2.0, 0.0])], "creator long, o long, embedding array<double>"), "creator", "o", "embedding")
+    template = identity.enroll(spark.createDataFrame([(0, 1, [2.0, 0.0])], "creator long, o long, embedding array<double>"), "creator", "embedding")
     assert {r["i"]: r["status"] for r in identity.decide(faces, template).collect()} == {1: "creator", 2: "ambiguous", 3: "embedding_failed", 4: "low_quality", 5: "unknown"}
     assert {r["status"] for r in identity.decide(faces, template.limit(0)).collect()} == {"no_enrollment"}
 
