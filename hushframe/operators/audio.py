@@ -208,17 +208,15 @@ def spoken_pii(words: DataFrame, key: str, config: text_pii.Config = text_pii.Co
     from the first one's start to the last one's end, with the smallest of their confidences. A key's words are one transcript.
     """
     named = words.withColumn("token", spoken_token(F.col("word"))).filter("token <> ''")
-    item = F.struct("pos", "token", "start_ms", "end_ms", "confidence")
-    spoken = named.groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    # running places: placing a transcript's words in one fold copies all words before each word
+    before = Window.partitionBy(key).orderBy("pos", "token", "start_ms", "end_ms", "confidence").rowsBetween(Window.unboundedPreceding, -1)
+    placed = named.withColumn("at", F.coalesce(F.sum(F.length("token") + 1).over(before), F.lit(0)))
+    spoken = placed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "token", "start_ms", "end_ms", "confidence"))).alias("items"))
     text = F.array_join(F.transform("items", lambda w: w["token"]), " ")
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int,start_ms:bigint,end_ms:bigint,confidence:double>>").alias("out"))
-    step = lambda acc, w: F.struct((acc["at"] + F.length(w["token"]) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("a"), (acc["at"] + F.length(w["token"])).alias("b"), w["start_ms"], w["end_ms"], w["confidence"]))).alias("out"))
-    # places only where there is something to place
-    found = spoken.withColumn("span", F.explode(text_pii.spans(text, config)))
-    placed = found.withColumn("placed", F.aggregate("items", begin, step, lambda acc: acc["out"]))
-    covered = F.filter("placed", lambda w: (w["b"] > F.col("span.start")) & (w["a"] < F.col("span.end")))
+    found = spoken.withColumn("text", text).withColumn("span", F.explode(text_pii.spans(F.col("text"), config)))
+    covered = F.filter("items", lambda w: (w["at"] + F.length(w["token"]) > F.col("span.start")) & (w["at"] < F.col("span.end")))
     of = lambda name: F.transform("covered", lambda w: w[name])
-    return placed.withColumn("covered", covered).filter(F.size("covered") > 0).select(
+    return found.withColumn("covered", covered).filter(F.size("covered") > 0).select(
         key, F.array_min(of("start_ms")).alias("start_ms"), F.array_max(of("end_ms")).alias("end_ms"), F.array_min(of("confidence")).alias("confidence"), F.col("span.category").alias("reason")
     )
 
