@@ -57,3 +57,13 @@ def test_ocr_forms(spark):
 def test_redaction(spark):
     rows = spark.createDataFrame([("call 020 7946 0011!",)], "text string")
     assert rows.select(t.redact(F.col("text"), t.spans(F.col("text")), "x")).first()[0] == "call " + "x" * 13 + "!"
+
+
+def test_a_plus_behind_another_number_belongs_to_its_number(spark):
+    # one character lies between the two: the text before a match is looked at, not taken
+    assert found(spark, "4111222233334444 +1 (906) 555-7738 on") == [("phone_number", 17, 34)]
+    assert found(spark, "12345678/87654321") == [("phone_number", 0, 8), ("phone_number", 9, 17)]
+
+
+def test_a_number_inside_an_address_is_part_of_it(spark):
+    assert found(spark, "hut @ 38.130.206.250 now") == [("email", 0, 20)]
