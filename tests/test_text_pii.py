@@ -67,3 +67,8 @@ def test_a_plus_behind_another_number_belongs_to_its_number(spark):
 
 def test_a_number_inside_an_address_is_part_of_it(spark):
     assert found(spark, "hut @ 38.130.206.250 now") == [("email", 0, 20)]
+
+
+def test_a_plus_is_redacted(spark):
+    rows = spark.createDataFrame([("4111222233334444 +1 (906) 555-7738 on",)], "text string")
+    assert rows.select(t.redact(F.col("text"), t.spans(F.col("text")), "x")).first()[0] == "4111222233334444 " + "x" * 17 + " on"
