@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -148,6 +149,27 @@ def test_hot_anchors_in_parts(spark, make, monkeypatch, block):
     assert [got[k] for k in range(len(rows))] == want and sum(x[1] > 0 for x in want) > 40
 
 
+def test_memory_of_a_block():
+    """An index's memory is a bounded multiple of its text's, with digests of all windows, too (118 bytes a byte before)."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 123, 420).astype(np.uint8).tobytes() for _ in range(2500)]
+    tracemalloc.start()
+    runs, digests = repeats.repeated_windows(texts, np.full(len(texts), 100), np.ones(len(texts), np.int64), 200, np.ones(len(texts), bool))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(runs[0]) == 0 and len(digests[0]) == 2500 * 221
+    assert peak < 80 * 420 * 2500
+
+
+def test_digests_don_t_depend_on_the_steps(monkeypatch):
+    raw = np.random.default_rng(4).integers(0, 256, 5000).astype(np.uint8)
+    at = np.array([0, 1, 700, 701, 3000, 4800 - 64])
+    want = repeats.window_digests(raw, at, 64, repeats.BYTE_VALUE)
+    monkeypatch.setattr(repeats, "STEP_BYTES", 2)
+    assert (repeats.window_digests(raw, at, 64, repeats.BYTE_VALUE) == want).all()
+    assert (repeats.eights(raw)[9] == int.from_bytes(raw[9:17].tobytes())) and len(set(want)) == len(want)
+
+
 def test_ids_of_any_kind(spark):
     text = "".join(random.Random(1).choices("abcdefgh ", k=500))
     docs = spark.createDataFrame([("a", text, 1), ("b", text, 2), (None, "x", 3)], "doc_id string, text string, __id int")
