@@ -88,8 +88,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
+    """The contract's columns and text are those of strings of 400 bytes; passages_removed and passages_text of strings of
+    PASSAGE_BYTES, as the contract's 400 bytes are more than a passage of over 50 words may have."""
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), passages=repeats.PASSAGE_BYTES)
+    readable = lambda c: F.make_valid_utf8(F.col(c).cast("string"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), readable("kept").alias("text"), "passages_removed", readable("passages_kept").alias("passages_text"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ No single index of the whole corpus is built; blocks are made so that all places
    A hot anchor's segments are dealt to several blocks. Of such blocks a digest of each distinct window that the index has left
    is counted over all blocks of the anchor, so what repeats across blocks is found too, and no anchor is one task's work.
 4. The windows found are joined to the documents as spans and removed.
+Of two lengths the shorter one's spans are found first: longer strings that repeat lie within them, so only those spans are searched.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from hushframe.llm.common import BASE_INV, BYTE_VALUE, STEP_BYTES, U64, cut, dis
 from hushframe.llm.runindex import RunIndex
 
 LENGTH = 400
+#: Bytes of a repeated passage: about 40 words, so that passages of over 50 words are found wherever their words are short.
+PASSAGE_BYTES = 200
 #: Bytes of segments of one anchor that one index takes; those of anchors with fewer are gathered up to GATHER_BYTES.
 BLOCK_BYTES, GATHER_BYTES = 4 << 20, 1 << 20
 #: Rows of a batch that a worker gives out.
@@ -64,12 +67,16 @@ def segments(gram: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def find_anchors(docs: DataFrame, length: int) -> DataFrame:
-    """(anchor, id, th, lo, n, off) of all segments: n windows from byte lo on, and the anchor's place behind lo."""
+    """(anchor, id, th, lo, n, off) of all segments: n windows from byte lo on, and the anchor's place behind lo.
+
+    docs: id, th, text, and runs, an array of (begin, end) of the parts of the text that are looked at, or null for all of it.
+    """
     k = anchor_bytes(length)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(2))
+            lists = batch.column(3)
             for i, j in steps(offsets):
                 own = data[offsets[i] : offsets[j]]
                 if len(own) < length:
@@ -78,18 +85,20 @@ def find_anchors(docs: DataFrame, length: int) -> DataFrame:
                 gram = mix((p[k:] - p[:-k]) * powers(BASE_INV, len(own))[: len(own) - k + 1])
                 rows, parts = [], []
                 for row in range(i, j):
-                    size = int(offsets[row + 1] - offsets[row])
-                    if size >= length:
-                        at = int(offsets[row] - offsets[i])
-                        part = segments(gram[at : at + size - k + 1], length - k + 1)
-                        parts.append((gram[at + part[2]], *part))
-                        rows.append(np.full(len(part[0]), row))
+                    at = int(offsets[row] - offsets[i])
+                    runs = [(x["begin"], x["end"]) for x in lists[row].as_py()] if lists[row].is_valid else [(0, int(offsets[row + 1] - offsets[row]))]
+                    for begin, end in runs:
+                        if end - begin < length:
+                            continue
+                        first, n, place = segments(gram[at + begin : at + end - k + 1], length - k + 1)
+                        parts.append((gram[at + begin + place], first + begin, n, place + begin))
+                        rows.append(np.full(len(first), row))
                 if rows:
                     anchor, lo, n, place = (np.concatenate(x) for x in zip(*parts))
                     row = pa.array(np.concatenate(rows))
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(lo), pa.array(n), pa.array(place - lo)], names=["anchor", "id", "th", "lo", "n", "off"])
 
-    return docs.select("id", "th", "text").mapInArrow(found, "anchor long, id long, th long, lo long, n long, off long")
+    return docs.select("id", "th", "text", "runs").mapInArrow(found, "anchor long, id long, th long, lo long, n long, off long")
 
 
 def extract(docs: DataFrame, length: int) -> DataFrame:
@@ -307,53 +316,93 @@ def runs_within(batches: Iterator[pa.RecordBatch], keys: int, most: int) -> Iter
         yield cut_before or held[0].column("parts")[0].as_py() > 1, held
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find_spans(docs: DataFrame, length: int) -> DataFrame:
+    """(id, th, spans), written: the runs of bytes of each text that strings of `length` bytes which also start elsewhere cover, as (begin,
+    end) in order; touching runs are one. docs: as for find_anchors."""
+    anchors = cut(find_anchors(docs, length), "anchors")
+    again = cut(anchors.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1"), "repeated-anchors")
+    lists = join_hot(anchors, again, "anchor", "times").groupBy("id", "th").agg(F.collect_set(F.struct("lo", "n", "off", "anchor")).alias("list"))
+    segs = cut(extract(docs.select("id", "th", "text").join(lists, ["id", "th"]), length), "segments")
+    discard(anchors, again)
+    spans = judge(segs, length).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            first = batch.column(2).offsets.to_numpy()
+            begin, end = (batch.column(2).values.field(k).to_numpy() for k in range(2))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+            begin, end = begin[first[0] : first[-1]], end[first[0] : first[-1]]
+            # a row's places lie above those of the rows before it, so one running maximum is enough
+            above = np.concatenate([[0], np.cumsum(np.full(batch.num_rows, int(end.max(initial=0)) + 1))])[row]
+            reach = np.maximum.accumulate(end + above)
+            opens = np.flatnonzero(np.concatenate([[True], (begin + above)[1:] > reach[:-1]])) if len(row) else row
+            stop = (reach - above)[np.concatenate([opens[1:], [len(row)]]) - 1] if len(row) else end
+            counts = np.bincount(row[opens], minlength=batch.num_rows)
+            spans = pa.StructArray.from_arrays([pa.array(begin[opens]), pa.array(stop)], names=["begin", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), spans)], names=["id", "th", "spans"])
+
+    found = cut(spans.mapInArrow(joined, "id long, th long, spans array<struct<begin: long, end: long>>"), "spans")
+    discard(segs)
+    return found
+
+
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, passages: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with n_bytes, n_removed, n_spans and kept (binary): the text's bytes without those in a string of `length` bytes that
-    also starts elsewhere, in any row (the same one included).
+    also starts elsewhere, in any row (the same one included). With passages (at most length), also passages_removed and
+    passages_kept: the same of strings of that many bytes.
 
-    Strings are judged on the input, so all copies go; rows with the same text and id are different rows. Columns of these four
-    names are replaced (and those that begin with __ id, th, text or spans are dropped), others stay; ids may be of any type, null or
-    repeated. A null text is an empty one. Cutting bytes may split a character, so kept is binary. length is 64 or more.
+    Strings are judged on the input, so all copies go; rows with the same text and id are different rows. Columns of these
+    names are replaced (and those that begin with __ id, th, text, spans or passages are dropped), others stay; ids may be of any type,
+    null or repeated. A null text is an empty one. Cutting bytes may split a character, so kept is binary. length is 64 or more.
     """
-    if length < 64:
+    if min(length, passages or length) < 64:
         raise ValueError("length is less than 64")
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "__id", "__th", "__text", "__spans")
+    if passages and passages > length:
+        raise ValueError("passages are longer than length")
+    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept", "__id", "__th", "__text", "__spans", "__passages", *["passages_removed", "passages_kept"] * bool(passages))
     # rows are known by 128 bits of hashes of id and text; rows equal in both have equal results
     own = F.coalesce(F.col(text), F.lit(""))
     keyed = docs.withColumns({"__text": own, "__id": F.xxhash64(F.lit(9), F.col(doc_id), own), "__th": F.xxhash64(own, F.col(doc_id))})
-    plain = keyed.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("__text").alias("text"))
-    anchors = cut(find_anchors(plain, length), "anchors")
-    again = cut(anchors.groupBy("anchor").agg(F.count("*").alias("times")).filter("times > 1"), "repeated-anchors")
-    lists = join_hot(anchors, again, "anchor", "times").groupBy("id", "th").agg(F.collect_set(F.struct("lo", "n", "off", "anchor")).alias("list"))
-    segs = cut(extract(plain.join(lists, ["id", "th"]), length), "segments")
-    discard(anchors, again)
-    spans = judge(segs, length).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("__spans"))
-    spans = cut(spans.withColumnsRenamed({"id": "__id", "th": "__th"}), "spans")
-    discard(segs)
-    joined = keyed.join(spans, ["__id", "__th"], "left").select(*docs.columns, "__text", "__spans")
+    runs = "array<struct<begin: long, end: long>>"
+    plain = keyed.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("__text").alias("text"), F.lit(None).cast(runs).alias("runs"))
+    if passages:
+        short = find_spans(plain, passages)
+        # equal rows are searched one by one: each is a place of its strings
+        long = short.select("id", "th", F.filter("spans", lambda x: x["end"] - x["begin"] >= length).alias("runs")).filter(F.size("runs") > 0)
+        within = cut(plain.drop("runs").join(long, ["id", "th"]), "within")
+        longer = find_spans(within, length)
+        both = short.withColumnRenamed("spans", "__passages").join(longer.withColumnRenamed("spans", "__spans"), ["id", "th"], "left")
+        spans = cut(both, "both-spans")
+        discard(within, longer, short)
+    else:
+        spans = find_spans(plain, length).withColumnRenamed("spans", "__spans")
+    columns = ["__spans", *["__passages"] * bool(passages)]
+    joined = keyed.join(spans.withColumnsRenamed({"id": "__id", "th": "__th"}), ["__id", "__th"], "left").select(*docs.columns, "__text", *columns)
     at = len(docs.columns)
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(at))
             view = memoryview(np.ascontiguousarray(data))
-            lists = batch.column(at + 1)
-            n_removed, n_spans, kept = [], [], []
-            for row in range(batch.num_rows):
-                own, last, gone, runs, parts = view[offsets[row] : offsets[row + 1]], 0, 0, 0, []
-                for span in lists[row].as_py() or ():
-                    if not runs or span["begin"] > last:
-                        parts.append(own[last : span["begin"]])
-                        gone, runs, last = gone + span["end"] - span["begin"], runs + 1, span["end"]
-                    elif span["end"] > last:
-                        gone, last = gone + span["end"] - last, span["end"]
-                n_removed.append(gone)
-                n_spans.append(runs)
-                kept.append(b"".join([*parts, own[last:]]))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:at], pa.array(np.diff(offsets)), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())],
-                names=[*batch.schema.names[:at], "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+
+            def without(lists: pa.ListArray) -> tuple[list[int], list[int], list[bytes]]:
+                n_removed, n_spans, kept = [], [], []
+                for row in range(batch.num_rows):
+                    own, spans = view[offsets[row] : offsets[row + 1]], lists[row].as_py() or ()
+                    ends = [0, *(x["end"] for x in spans)]
+                    n_removed.append(sum(x["end"] - x["begin"] for x in spans))
+                    n_spans.append(len(spans))
+                    kept.append(b"".join([*(own[a : x["begin"]] for a, x in zip(ends, spans)), own[ends[-1] :]]))
+                return n_removed, n_spans, kept
+
+            n_removed, n_spans, kept = without(batch.column(at + 1))
+            out = {"n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(n_removed, pa.int64()), "n_spans": pa.array(n_spans, pa.int64()), "kept": pa.array(kept, pa.binary())}
+            if passages:
+                n_removed, _, kept = without(batch.column(at + 2))
+                out |= {"passages_removed": pa.array(n_removed, pa.int64()), "passages_kept": pa.array(kept, pa.binary())}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *out.values()], names=[*batch.schema.names[:at], *out])
 
     schema = docs.limit(0).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
+    if passages:
+        schema = schema.add("passages_removed", "long").add("passages_kept", "binary")
     return joined.mapInArrow(removed, schema)

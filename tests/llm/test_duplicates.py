@@ -149,6 +149,21 @@ def test_hot_anchors_in_parts(spark, make, monkeypatch, block):
     assert [got[k] for k in range(len(rows))] == want and sum(x[1] > 0 for x in want) > 40
 
 
+def test_repeats_of_two_lengths(spark, make, clashing):
+    rng = random.Random(8)
+    base = ["".join(rng.choices("abcdé ", k=rng.randint(60, 300))) for _ in range(6)]
+    rows = ["".join(rng.choice([rng.choice(base), "ab" * rng.randint(0, 99), rng.choice(base)[5:200], "".join(rng.choices("xyz", k=30))]) for _ in range(rng.randint(0, 4))) for _ in range(50)]
+    rows += [None, "", rows[0], "q" * 5000]
+    found = repeats.remove_repeats(clashing(make(spark, rows)), length=133, passages=70).collect()
+    data = [(t or "").encode() for t in rows]
+    assert [(r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in sorted(found, key=lambda r: r["doc_id"])] == brute_repeats(data, 133)
+    short = brute_repeats(data, 70)
+    assert [(r["passages_removed"], bytes(r["passages_kept"])) for r in sorted(found, key=lambda r: r["doc_id"])] == [(x[1], x[3]) for x in short]
+    assert sum(x[1] for x in short) > sum(x[1] for x in brute_repeats(data, 133))
+    with pytest.raises(ValueError):
+        repeats.remove_repeats(make(spark, rows), length=100, passages=101)
+
+
 def test_memory_of_a_block():
     """An index's memory is a bounded multiple of its text's, with digests of all windows, too (118 bytes a byte before)."""
     rng = np.random.default_rng(3)

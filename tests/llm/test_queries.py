@@ -126,6 +126,20 @@ def test_op9(spark, small, rows):
         assert r["text"] == kept.decode(errors="replace")
 
 
+def test_op9_finds_passages_of_over_50_words(spark, tmp_path):
+    """Passages of 51 short words are under the contract's 400 bytes: its columns leave them, passages_text doesn't have them."""
+    rng = np.random.default_rng(9)
+    some = lambda n: " ".join("".join(rng.choice(list("abcdefghé"), 4)) for _ in range(n))
+    passages = [some(51), some(51)]
+    texts = [f"{some(60)} {passages[k % 2]} {some(60)}" for k in range(6)] + [some(120) for _ in range(6)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in collected(spark, str(tmp_path), "op9_suffix_dedup"):
+        text = texts[r["doc_id"]]
+        assert (r["n_removed"], r["text"]) == (0, text)
+        passage = passages[r["doc_id"] % 2] if r["doc_id"] < 6 else None
+        assert (passage is None and r["passages_text"] == text) or (passage and passage in text and not any(w in r["passages_text"] for w in passage.split()[1:-1:10]) and r["passages_removed"] >= len(passage.encode()))
+
+
 def test_op10(spark, small, rows):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     pieces, sequences = defaultdict(list), defaultdict(list)
