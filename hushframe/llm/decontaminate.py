@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import U64, Tokens, byte_map, cut, discard, flat, mix, steps
+from hushframe.llm.common import U64, Tokens, byte_map, cut, discard, flat, mix, releasing, steps
 
 WINDOW = 15
 #: Word positions that each mask looks at; the others are ignored.
@@ -65,6 +65,7 @@ def packed(rows: np.ndarray) -> pa.Array:
 def item_seeds(items: DataFrame, kind: str) -> DataFrame:
     """(seed, item_id, size, reach, item_words) of items (item_id, lower): all seeds; reach is the last position of the mask."""
 
+    @releasing
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(1))
@@ -104,6 +105,7 @@ def hits(texts: DataFrame, seeds_: DataFrame) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(bitmap(seeds_))
     masks = (*MASKS, *(tuple(range(n)) for n in sorted(r["size"] for r in seeds_.filter("size < 6").select("size").distinct().collect())))  # five sizes
 
+    @releasing
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held = shared.value
         for batch in batches:
@@ -132,6 +134,7 @@ def verified(joined: DataFrame, kind: str) -> DataFrame:
     """(h1, h2, item_id, n_equal, n_window, word) of joined hits and item seeds (h1, h2, place, words, item_id, size, reach, item_words):
     the best window around each that is a leak; the first one of equally good ones."""
 
+    @releasing
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 20_000) for b in batches for at in range(0, b.num_rows, 20_000)):
             place, size, reach = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 5, 6))

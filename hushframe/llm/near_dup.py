@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.bagminhash import signatures
-from hushframe.llm.common import SPACE, U64, Tokens, byte_map, cut, discard, flat, groups, join_hot, mix, salted, steps
+from hushframe.llm.common import SPACE, U64, Tokens, byte_map, cut, discard, flat, groups, join_hot, mix, releasing, salted, steps
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -34,6 +34,8 @@ BANDS, ROWS = 32, 6
 SIZE = 640
 #: Pairs whose signatures are this many standard deviations below SIMILARITY are not verified in step 3 (1.3e-5 of those at it).
 DEVIATIONS = 4.2
+#: Bytes of text whose signatures are made at once: each takes some 50 bytes meanwhile.
+SIGN_BYTES = 1 << 18
 #: Texts of a block in step 3.
 BLOCK = 2048
 _WORDS = byte_map(SPACE)
@@ -70,11 +72,12 @@ def sign(texts: DataFrame, words: int, bands: int, rows: int, size: int) -> Data
     """(h1, h2, text, bands, sketch, shingles) of texts (h1, h2, text): band hashes (none for a text without words), a byte for each
     component, the number of shingles."""
 
+    @releasing
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(2))
             keys, sketches, some, sizes = [], [], [], []
-            for i, j in steps(offsets):
+            for i, j in steps(offsets, SIGN_BYTES):
                 element, weight, row = bags(Tokens(data, offsets[i : j + 1], _WORDS), words)
                 found = signatures(element, weight, row, j - i, size).view(U64)
                 band = mix(np.arange(bands, dtype=U64))[None, :] + np.zeros((j - i, 1), U64)
@@ -103,6 +106,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> Da
     # one shuffle of the texts, at every size
     rows = asked.hint("merge").join(texts.select("node", "text"), "node").select("b", "salt", "a", "text").repartition("b", "salt").sortWithinPartitions("b", "salt", "a")
 
+    @releasing
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, hub_weight = np.zeros(0, U64), np.zeros(0, np.int64)
         for batch in batches:
@@ -219,6 +223,7 @@ def compare_outside(rows: DataFrame, sketches: DataFrame, bands: int, width: int
                 hit = hit[np.argmax(shared, axis=1) == band]
             yield node[others[hit]], np.full(len(hit), node[q]), estimate[hit]
 
+    @releasing
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
             found = [np.concatenate(x) for x in zip(*pairs(group))]

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import cut
-from hushframe.llm.pretokens import ByteIds, worker
+from hushframe.llm.common import cut, releasing
+from hushframe.llm.pretokens import ByteIds, for_task
 
 #: Groups that the rows of one length are dealt to before they are numbered.
 SALTS = 32
@@ -84,19 +84,21 @@ def best_fit(histogram: dict[int, int], capacity: int) -> np.ndarray:
 def cut_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, doc_id: str, text: str) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and end_id, cut so that only the first piece may be short."""
 
+    @releasing
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = worker(ByteIds, path), np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            rows: list[tuple[int, int, int, int, int]] = []
-            for row, value in enumerate(batch.column(1).to_pylist()):
-                ids = (own.ids(value) if value else b"") + end
-                total = len(ids) // 4
-                start, stop, piece = 0, (total - 1) % capacity + 1, 0
-                while start < total:
-                    rows.append((row, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
-                    start, stop, piece = stop, stop + capacity, piece + 1
-            found = np.array(rows, np.int64).reshape(-1, 5)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found[:, 0])), pa.array(found[:, 1].astype(np.int32)), *(pa.array(found[:, k]) for k in range(2, 5))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        end = np.array([end_id], "<u4").tobytes()
+        with for_task(ByteIds, path) as own:
+            for batch in batches:
+                rows: list[tuple[int, int, int, int, int]] = []
+                for row, value in enumerate(batch.column(1).to_pylist()):
+                    ids = (own.ids(value) if value else b"") + end
+                    total = len(ids) // 4
+                    start, stop, piece = 0, (total - 1) % capacity + 1, 0
+                    while start < total:
+                        rows.append((row, piece, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+                        start, stop, piece = stop, stop + capacity, piece + 1
+                found = np.array(rows, np.int64).reshape(-1, 5)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(found[:, 0])), pa.array(found[:, 1].astype(np.int32)), *(pa.array(found[:, k]) for k in range(2, 5))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)[doc_id]
     return docs.select(F.col(doc_id), F.col(text)).mapInArrow(pieces, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
@@ -120,6 +122,7 @@ def pack(docs: DataFrame, path: str, *, capacity: int = 2048, end_id: int = 0, d
     # at most capacity x SALTS rows, whatever the input: 2048 x 32 x 40 bytes
     ranked = numbered.join(F.broadcast(before), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("own"))
 
+    @releasing
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         first = np.searchsorted(plan[:, 0], np.arange(capacity + 2)) if len(plan) else np.zeros(capacity + 2, np.int64)

@@ -10,6 +10,8 @@ from __future__ import annotations
 import array
 import json
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 
@@ -163,3 +165,13 @@ def worker(kind: type[Encoder], path: str) -> Encoder:
     if (kind.__name__, path) not in _workers:
         _workers[kind.__name__, path] = kind(path)
     return _workers[kind.__name__, path]
+
+
+@contextmanager
+def for_task(kind: type[Encoder], path: str) -> Iterator[Encoder]:
+    """The worker process' encoder, whose cache is emptied at the end: a full one would stay with the idle worker through all that follows."""
+    own = worker(kind, path)
+    try:
+        yield own
+    finally:
+        own.cache.clear()

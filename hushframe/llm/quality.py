@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import cut, flat
+from hushframe.llm.common import cut, flat, releasing
 
 PIECE = 1024
 DICTIONARY_BYTES = 1 << 16
@@ -120,6 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     model = Model(learnt[1], learnt[0], 1.0, 0.0)
     shared = spark.sparkContext.broadcast(model)
 
+    @releasing
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shared.value.differences(*flat(batch.column(2))))], names=["id", "y", "x"])
@@ -142,6 +143,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     docs = docs.drop("score", "predicted")
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
 
+    @releasing
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = shared.value.scores(*flat(batch.column(place)))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.common import BASE_INV, BYTE_VALUE, STEP_BYTES, U64, cut, discard, flat, join_hot, mix, powers, rolling, salted, steps
+from hushframe.llm.common import BASE_INV, BYTE_VALUE, STEP_BYTES, U64, cut, discard, flat, join_hot, mix, powers, releasing, rolling, salted, steps
 from hushframe.llm.runindex import RunIndex
 
 LENGTH = 400
@@ -73,6 +73,7 @@ def find_anchors(docs: DataFrame, length: int) -> DataFrame:
     """
     k = anchor_bytes(length)
 
+    @releasing
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(2))
@@ -107,6 +108,7 @@ def extract(docs: DataFrame, length: int) -> DataFrame:
     docs: id, th, text and list, an array of (lo, n, off, anchor).
     """
 
+    @releasing
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(2))
@@ -252,6 +254,7 @@ def judge(segs: DataFrame, length: int) -> DataFrame:
             columns = [ids[place], ths[place], begin, begin + length]
             yield pa.RecordBatch.from_arrays([pa.array(digest[own].view(np.int64)), pa.array(other[own].view(np.int64)), *(pa.array(c, mask=~single[own]) for c in columns)], names=NAMES)
 
+    @releasing
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, weight = [], 0
         for parts, group in runs_within(batches, 2, BLOCK_BYTES):
@@ -326,6 +329,7 @@ def find_spans(docs: DataFrame, length: int) -> DataFrame:
     discard(anchors, again)
     spans = judge(segs, length).groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("begin", "end"))).alias("spans"))
 
+    @releasing
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first = batch.column(2).offsets.to_numpy()
@@ -380,6 +384,7 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, passages: int | Non
     joined = keyed.join(spans.withColumnsRenamed({"id": "__id", "th": "__th"}), ["__id", "__th"], "left").select(*docs.columns, "__text", *columns)
     at = len(docs.columns)
 
+    @releasing
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(at))

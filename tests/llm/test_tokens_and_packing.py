@@ -3,12 +3,13 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from hushframe.llm import packing, pretokens, token_counts
+from hushframe.llm import common, packing, pretokens, token_counts
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 PIECES = st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "\t", "é", "é", "'s", "'", "!", "<|endoftext|>", "İ", "Σ", "\xa0", "1", "²", "​", "日", "😀", "_", "\x1c", "\r\n", "ﬁ", "<|"]), max_size=14)
@@ -93,3 +94,27 @@ def test_repeated_rows_and_null_ids(spark, make):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == [(False, 5), (False, 5), (True, 0), (True, 0)]
     places = {(r["sequence_id"], r["offset"]) for r in rows}
     assert len(places) == len(rows)
+
+
+def test_workers_keep_no_cache_after_packing(spark, make, texts):
+    """Idle workers would hold a full one through all stages that follow."""
+    assert packing.pack(make(spark, texts), BYTE).count()
+
+    def entries(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(pretokens._workers)]), pa.array([sum(len(e.cache) for e in pretokens._workers.values() if isinstance(e, pretokens.ByteIds))])], names=["encoders", "entries"])
+
+    rows = spark.range(8, numPartitions=4).mapInArrow(entries, "encoders long, entries long").collect()
+    assert max(r["encoders"] for r in rows) and not max(r["entries"] for r in rows)
+
+
+def test_batches_of_long_texts_are_small(spark):
+    docs = spark.range(2500, numPartitions=1).selectExpr("id", "repeat(char(97 + id % 26), 10000) text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    rows = common.cut(docs.mapInArrow(sizes, "n long, bytes long"), "sizes").collect()
+    assert sum(r["n"] for r in rows) == 2500
+    assert max(r["bytes"] for r in rows) < common.BATCH_BYTES + 20_000
